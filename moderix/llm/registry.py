@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from moderix.llm import op8
+from moderix.llm import op4, op8, op9
 
-MODULES = (op8,)
+MODULES = (op4, op8, op9)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
