@@ -1,0 +1,14 @@
+"""Analytics of short-text moderation data, and corpus operators, on Spark."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a cluster ships it with --py-files)."""
+    here, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), here) if x)
