@@ -291,6 +291,20 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     return linked.unionByName(alone)
 
 
+def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without those that link to a kept one: of each component the document of least
+    id stays, and of rows that share an id one. Rows without an id all stay. Only rows that may go are shuffled."""
+    got = stages.written(components(docs, n, num, den, id_col, text_col).filter("doc_id is not null").select("doc_id", "component_id"), "components")
+    more = got.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("component_id").alias("c")).filter("k > 1 or c <> doc_id")
+    more = stages.written(more.select(F.col("doc_id").alias("id"), (F.col("c") == F.col("doc_id")).alias("stays")), "touched")
+    key = F.col(f"`{id_col}`").cast("long")
+    bits = stages.member_bits(more.select("id"))
+    maybe, sure = stages.only_members(docs, id_col, bits), stages.only_members(docs, id_col, bits, False)
+    safe = maybe.join(more, key == more["id"], "left_anti")
+    once = maybe.join(more.filter("stays"), key == more["id"], "left_semi").dropDuplicates([id_col])
+    return sure.unionByName(safe).unionByName(once)
+
+
 def _apart(long: DataFrame, labels: DataFrame, near: F.Column) -> DataFrame:
     """Pairs (a, b) of members of a long list that are in different components: every component but the list's
     largest against all of the list, so that what a hub has united is not tried again."""

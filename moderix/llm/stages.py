@@ -91,8 +91,8 @@ def id_hash(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(41)).astype(np.int64)
 
 
-def only_members(df: DataFrame, id_col: str, bits: np.ndarray) -> DataFrame:
-    """Rows whose id may be a member: decided on the id alone, so that other columns stay in the JVM."""
+def only_members(df: DataFrame, id_col: str, bits: np.ndarray, may: bool = True) -> DataFrame:
+    """Rows whose id may be a member, or (may = False) all others, those without an id among them: decided on the id alone, so that other columns stay in the JVM."""
     held = df.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -100,9 +100,10 @@ def only_members(df: DataFrame, id_col: str, bits: np.ndarray) -> DataFrame:
         import pandas as pd
 
         h = id_hash(ids.fillna(0).to_numpy())
-        return pd.Series((held.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1) & ids.notna().to_numpy()
+        return pd.Series(((held.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1) & ids.notna().to_numpy())
 
-    return df.filter(member(F.col(id_col)))
+    said = member(F.col(f"`{id_col}`").cast("long"))
+    return df.filter(said if may else ~said)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
