@@ -143,7 +143,7 @@ def book() -> tuple[dict, dict, Callable]:
         def put(f: Callable) -> Callable:
             queries[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
             if sql is not None:
-                oracle[name] = SQL + more + counted(sql)
+                oracle[name] = SQL + counted(more + sql)
             return f
 
         return put
