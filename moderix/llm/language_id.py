@@ -103,7 +103,7 @@ def evidence(pages: DataFrame, model: TextModel, id_col: str, url_col: str, html
     declared = F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     path = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^?#]*?://[^/?#]*/([A-Za-z]{2})(?:[/?#-]|$)", 1))
     codes = F.array(path, F.substring_index(h, ".", 1), F.substring_index(h, ".", -1))
-    address = F.coalesce(F.filter(codes, lambda c: c.isin(names))[0], F.lit("")) if names else F.lit("")
+    address = F.coalesce(F.get(F.filter(codes, lambda c: c.isin(names)), 0), F.lit("")) if names else F.lit("")
     kind = pages.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
