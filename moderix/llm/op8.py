@@ -20,12 +20,11 @@ ORACLE_SQL = {
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
   from documents),
-s as (
-  select doc_id, case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')]
-    else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) end as sh
-  from w),
-n as (select doc_id, cast(len(sh) as bigint) as n_shingles from s),
-e as (select doc_id, unnest(sh) as g from s),
+t as (select doc_id, unnest(ws) as x, generate_subscripts(ws, 1) as i from w),
+e as (
+  select distinct doc_id, g from (select doc_id, x || ' ' || lead(x, 1) over o || ' ' || lead(x, 2) over o || ' ' || lead(x, 3) over o as g from t window o as (partition by doc_id order by i)) where g is not null
+  union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 3),
+n as (select w.doc_id, count(e.g) as n_shingles from w left join e on e.doc_id = w.doc_id group by 1),
 p as (
   select a.doc_id as u, b.doc_id as v, count(*) as c from e a join e b on a.g = b.g and a.doc_id <> b.doc_id
   group by 1, 2),
