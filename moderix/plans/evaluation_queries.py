@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moderix.functions import text
@@ -12,7 +12,14 @@ from moderix.plans.tables import Tables, book
 QUERIES, ORACLE_SQL, query = book()
 T = 0.320188
 DEC = 6
-P, GOLD = F.col("p"), F.col("gold")
+
+
+def P() -> Column:  # noqa: N802
+    return F.col("p")
+
+
+def GOLD() -> Column:  # noqa: N802
+    return F.col("gold")
 
 
 def rounded(df: DataFrame, places: int = DEC) -> DataFrame:
@@ -27,19 +34,19 @@ CELLS = f""", c as (
 
 @query("confusion_by_slice", "select * from c", CELLS)
 def confusion(t: Tables) -> DataFrame:
-    return ev.by_slice(t.scored, P >= T)
+    return ev.by_slice(t.scored, P() >= T)
 
 
 @query("metrics_by_slice", """select slice, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round(coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1,
   round((coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0::double * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2, 6) as macro_f1,
   round((tp + tn) / nullif(tp + tn + fp + fn, 0), 6) as accuracy, round(fp / nullif(fp + tn, 0), 6) as fpr from c""", CELLS)
 def metrics(t: Tables) -> DataFrame:
-    return rounded(ev.by_slice(t.scored, P >= T).select("slice", *ev.metrics()))
+    return rounded(ev.by_slice(t.scored, P() >= T).select("slice", *ev.metrics()))
 
 
 @query("recall_gap", "select round(max(case when slice = 'hit' then tp / nullif(tp + fn, 0) end) - max(case when slice = 'free' then tp / nullif(tp + fn, 0) end), 6) as gap from c", CELLS)
 def recall_gap(t: Tables) -> DataFrame:
-    m = ev.by_slice(t.scored, P >= T).select("slice", *ev.metrics())
+    m = ev.by_slice(t.scored, P() >= T).select("slice", *ev.metrics())
     of = lambda s: F.max(F.when(F.col("slice") == s, F.col("recall")))
     return m.agg(F.round(of("hit") - of("free"), DEC).alias("gap"))
 
@@ -47,8 +54,8 @@ def recall_gap(t: Tables) -> DataFrame:
 @query("cell_cube", f"""select coalesce(slice, 'any') as slice, coalesce(cast(gold as varchar), 'any') as gold, coalesce(band, 'any') as band, count(*) as n from
 (select *, case when p < 0.25 then 'low' when p < 0.5 then 'mid' else 'high' end as band from scored) group by cube (slice, gold, band)""")
 def cell_cube(t: Tables) -> DataFrame:
-    band = F.when(P < 0.25, "low").when(P < 0.5, "mid").otherwise("high")
-    g = t.scored.withColumn("band", band).withColumn("gold", GOLD.cast("string")).cube("slice", "gold", "band").agg(F.count("*").alias("n"))
+    band = F.when(P() < 0.25, "low").when(P() < 0.5, "mid").otherwise("high")
+    g = t.scored.withColumn("band", band).withColumn("gold", GOLD().cast("string")).cube("slice", "gold", "band").agg(F.count("*").alias("n"))
     return g.fillna("any", ["slice", "gold", "band"])
 
 
@@ -129,8 +136,8 @@ CONF = "case when p > 0.5 then p else 1 - p end"
 @query("reliability_bins", f"""select bin, coalesce(n, 0) as n, confidence, accuracy from (select unnest(range(15)) as bin) left join (
   select least(floor(({CONF} - 0.5::double) / (0.5::double / 15)), 14)::bigint as bin, count(*) as n, round(avg({CONF}), 6) as confidence, round(avg(((p > 0.5)::int = gold)::int), 6) as accuracy from scored group by 1) using (bin)""")
 def reliability_bins(t: Tables) -> DataFrame:
-    conf = F.when(P > 0.5, P).otherwise(1 - P)
-    return rounded(ev.reliability(t.scored, conf, (P > 0.5).cast("int") == GOLD, 0.5, 1.0, 15))
+    conf = F.when(P() > 0.5, P()).otherwise(1 - P())
+    return rounded(ev.reliability(t.scored, conf, (P() > 0.5).cast("int") == GOLD(), 0.5, 1.0, 15))
 
 
 BINS = ", b as (select least(floor(p / 0.1::double), 9)::bigint as bin, count(*) as n, avg(p) as confidence, avg(gold) as accuracy from scored group by 1)"
@@ -138,12 +145,12 @@ BINS = ", b as (select least(floor(p / 0.1::double), 9)::bigint as bin, count(*)
 
 @query("reliability_table", "select bin, coalesce(n, 0) as n, round(confidence, 6) as confidence, round(accuracy, 6) as accuracy from (select unnest(range(10)) as bin) left join b using (bin)", BINS)
 def reliability_table(t: Tables) -> DataFrame:
-    return rounded(ev.reliability(t.scored, P, GOLD == 1, 0.0, 1.0, 10))
+    return rounded(ev.reliability(t.scored, P(), GOLD() == 1, 0.0, 1.0, 10))
 
 
 @query("calibration_error", "select round(sum(n * abs(accuracy - confidence)) / sum(n), 6) as ece, round(max(abs(accuracy - confidence)), 6) as mce, round(sum(n * (accuracy - confidence)) / sum(n), 6) as signed from b", BINS)
 def calibration_error(t: Tables) -> DataFrame:
-    return rounded(ev.calibration_error(ev.reliability(t.scored, P, GOLD == 1, 0.0, 1.0, 10)))
+    return rounded(ev.calibration_error(ev.reliability(t.scored, P(), GOLD() == 1, 0.0, 1.0, 10)))
 
 
 @query("nll_grid", """select temperature, round(avg(-case when gold = 1 then ln(q) else ln(1 - q) end), 6) as nll from (select gold, temperature, least(greatest(1 / (1 + exp(-ln(c / (1 - c)) / temperature)), 1e-6), 1 - 1e-6) as q
@@ -161,21 +168,21 @@ def temperature_fit(t: Tables) -> DataFrame:
 @query("risk_coverage", f"""select coverage, k, round(1 - avg(ok), 6) as risk from (select coverage, k, ok, rn from (select *, greatest(1, round_even(coverage * n, 0))::bigint as k from (select unnest([0.1::double, 0.25, 0.5, 0.75, 0.9, 1.0]) as coverage), (select count(*) as n from scored)),
   (select ((p > 0.5)::int = gold)::int as ok, row_number() over (order by {CONF} desc, row_id) as rn from scored)) where rn <= k group by 1, 2""")
 def risk_coverage(t: Tables) -> DataFrame:
-    conf = F.when(P > 0.5, P).otherwise(1 - P)
-    return rounded(ev.risk_coverage(t.scored, conf, (P > 0.5).cast("int") == GOLD, [0.1, 0.25, 0.5, 0.75, 0.9, 1.0]))
+    conf = F.when(P() > 0.5, P()).otherwise(1 - P())
+    return rounded(ev.risk_coverage(t.scored, conf, (P() > 0.5).cast("int") == GOLD(), [0.1, 0.25, 0.5, 0.75, 0.9, 1.0]))
 
 
 @query("operating_point", f"""select slice, n, deferred, round(deferred / n, 6) as deferral, round(captured / nullif(errors, 0), 6) as capture, round(captured / nullif(errors, 0) / nullif(deferred / n, 0), 6) as lift, round(auto_errors / nullif(n - deferred, 0), 6) as auto_risk from (
   select coalesce(slice, 'all') as slice, count(*) as n, count_if({CONF} < 0.7) as deferred, count_if((p > 0.5)::int <> gold) as errors, count_if((p > 0.5)::int <> gold and {CONF} < 0.7) as captured, count_if((p > 0.5)::int <> gold and {CONF} >= 0.7) as auto_errors
   from scored group by grouping sets ((slice), ()))""")
 def operating_point(t: Tables) -> DataFrame:
-    return rounded(ev.operating_point(t.scored, F.when(P > 0.5, P).otherwise(1 - P), P > 0.5, 0.7))
+    return rounded(ev.operating_point(t.scored, F.when(P() > 0.5, P()).otherwise(1 - P()), P() > 0.5, 0.7))
 
 
 @query("score_distribution", "select gold, round(avg(p), 6) as mean, round(quantile_cont(p, 0.25), 6) as q1, round(quantile_cont(p, 0.5), 6) as median, round(quantile_cont(p, 0.75), 6) as q3, round(avg((p <= 0.5)::int), 6) as low_share from scored group by gold")
 def score_distribution(t: Tables) -> DataFrame:
     q = F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = t.scored.groupBy("gold").agg(F.avg("p").alias("mean"), q.alias("q"), F.avg((P <= 0.5).cast("double")).alias("low_share"))
+    g = t.scored.groupBy("gold").agg(F.avg("p").alias("mean"), q.alias("q"), F.avg((P() <= 0.5).cast("double")).alias("low_share"))
     return rounded(g.select("gold", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low_share"))
 
 
@@ -186,13 +193,13 @@ def crossings(t: Tables) -> DataFrame:
 
 @query("disagreement", "select (p >= 0.4) as a, (p2 >= 0.4) as b, count(*) as n, count_if(gold = 1) as positive from scored group by 1, 2")
 def disagreement(t: Tables) -> DataFrame:
-    return t.scored.groupBy((P >= 0.4).alias("a"), (F.col("p2") >= 0.4).alias("b")).agg(F.count("*").alias("n"), F.count_if(GOLD == 1).alias("positive"))
+    return t.scored.groupBy((P() >= 0.4).alias("a"), (F.col("p2") >= 0.4).alias("b")).agg(F.count("*").alias("n"), F.count_if(GOLD() == 1).alias("positive"))
 
 
 @query("kappa", """select n, round(same / n * 100, 6) as agreement_pct, round((same / n - e) / nullif(1 - e, 0), 6) as kappa from (select *, (a1 * b1 + (n - a1) * (n - b1)) / (n * n)::double as e from (
   select count(*) as n, count_if((p >= 0.4) = (p2 >= 0.4)) as same, count_if(p >= 0.4) as a1, count_if(p2 >= 0.4) as b1 from scored))""")
 def kappa(t: Tables) -> DataFrame:
-    return rounded(ev.kappa(t.scored, (P >= 0.4).cast("int"), (F.col("p2") >= 0.4).cast("int")))
+    return rounded(ev.kappa(t.scored, (P() >= 0.4).cast("int"), (F.col("p2") >= 0.4).cast("int")))
 
 
 @query("aligned_dumps", """select coalesce(a.row_id, b.row_id) as row_id, case when b.row_id is null then 'only_a' when a.row_id is null then 'only_b' else 'differs' end as problem
@@ -200,7 +207,7 @@ from (select * from scored where row_id % 7 <> 0) a full join (select row_id, ca
 where a.row_id is null or b.row_id is null or a.gold is distinct from b.gold or a.slice is distinct from b.slice""")
 def aligned(t: Tables) -> DataFrame:
     a = t.scored.filter("row_id % 7 <> 0")
-    b = t.scored.filter("row_id % 5 <> 0").withColumn("gold", F.when(F.col("row_id") % 11 == 0, 1 - GOLD).otherwise(GOLD))
+    b = t.scored.filter("row_id % 5 <> 0").withColumn("gold", F.when(F.col("row_id") % 11 == 0, 1 - GOLD()).otherwise(GOLD()))
     return ev.aligned(a, b, ["gold", "slice"])
 
 
@@ -250,8 +257,8 @@ def stratum_rate(t: Tables) -> DataFrame:
 def class_balance(t: Tables) -> DataFrame:
     part = F.when(F.col("row_id") % 2 == 0, "even").otherwise("odd")
     rows = t.scored.withColumn("part", part).groupingSets([[F.col("part"), F.col("slice")], [F.col("part")]], F.col("part"), F.col("slice"))
-    n1 = F.count_if(GOLD == 1)
-    got = rows.agg(F.count("*").alias("n"), n1.alias("positive"), F.avg(GOLD.cast("double")).alias("rate"), ev.ratio(F.count_if(GOLD == 0), n1).alias("ratio"))
+    n1 = F.count_if(GOLD() == 1)
+    got = rows.agg(F.count("*").alias("n"), n1.alias("positive"), F.avg(GOLD().cast("double")).alias("rate"), ev.ratio(F.count_if(GOLD() == 0), n1).alias("ratio"))
     return rounded(got.withColumn("slice", F.coalesce("slice", F.lit("all"))))
 
 
@@ -288,7 +295,7 @@ def upsampled(t: Tables) -> DataFrame:
 
 @query("label_conflicts", "select row_id from (select row_id, gold from scored union all select row_id, case when row_id % 13 = 0 then 1 - gold else gold end from scored where row_id % 2 = 1) group by row_id having count(distinct gold) > 1")
 def label_conflicts(t: Tables) -> DataFrame:
-    other = t.scored.filter("row_id % 2 = 1").select("row_id", F.when(F.col("row_id") % 13 == 0, 1 - GOLD).otherwise(GOLD).alias("gold"))
+    other = t.scored.filter("row_id % 2 = 1").select("row_id", F.when(F.col("row_id") % 13 == 0, 1 - GOLD()).otherwise(GOLD()).alias("gold"))
     return t.scored.select("row_id", "gold").unionByName(other).groupBy("row_id").agg(F.count_distinct("gold").alias("k")).filter("k > 1").select("row_id")
 
 
@@ -331,13 +338,13 @@ def latency_bands(t: Tables) -> DataFrame:
 
 @query("system_comparison", """select system, round(avg(((s >= 0.4)::int = gold)::int), 6) as accuracy, round(count_if(s >= 0.4 and gold = 1) / count_if(gold = 1), 6) as recall from (select 'base' as system, p as s, gold from scored union all select 'next', p2, gold from scored) group by system""")
 def system_comparison(t: Tables) -> DataFrame:
-    long = t.scored.select("gold", F.explode(F.array(F.struct(F.lit("base").alias("system"), P.alias("s")), F.struct(F.lit("next").alias("system"), F.col("p2").alias("s")))).alias("x")).select("gold", "x.*")
+    long = t.scored.select("gold", F.explode(F.array(F.struct(F.lit("base").alias("system"), P().alias("s")), F.struct(F.lit("next").alias("system"), F.col("p2").alias("s")))).alias("x")).select("gold", "x.*")
     g = long.groupBy("system").agg(*ev.cells(F.col("s") >= 0.4))
     return rounded(g.select("system", *ev.metrics()).select("system", "accuracy", "recall"))
 
 
 def _cells(t: Tables) -> DataFrame:
-    return t.scored.agg(*ev.cells(P >= T))
+    return t.scored.agg(*ev.cells(P() >= T))
 
 
 @query("bootstrap_f1")
@@ -348,7 +355,7 @@ def bootstrap_f1(t: Tables) -> DataFrame:
 @query("bootstrap_paired_delta")
 def bootstrap_delta(t: Tables) -> DataFrame:
     """Accuracy of the second system minus the first, over joint outcomes, so both see the same rows."""
-    a, b = (P >= 0.4).cast("int") == GOLD, (F.col("p2") >= 0.4).cast("int") == GOLD
+    a, b = (P() >= 0.4).cast("int") == GOLD(), (F.col("p2") >= 0.4).cast("int") == GOLD()
     joint = t.scored.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("a_only"), F.count_if(~a & b).alias("b_only"), F.count_if(~a & ~b).alias("none"))
     return rounded(ev.interval(ev.resampled(joint, ["both", "a_only", "b_only", "none"], lambda c: (c["b_only"] - c["a_only"]) / max(1, sum(c.values())), 1000, 42)))
 
@@ -356,7 +363,7 @@ def bootstrap_delta(t: Tables) -> DataFrame:
 @query("bootstrap_recall_gap")
 def bootstrap_gap(t: Tables) -> DataFrame:
     """Recall of the hit slice minus the free slice; the disjoint slices are resampled apart."""
-    of = lambda s, ok: F.count_if((F.col("slice") == s) & (GOLD == 1) & ((P >= T) == ok))
+    of = lambda s, ok: F.count_if((F.col("slice") == s) & (GOLD() == 1) & ((P() >= T) == ok))
     row = t.scored.agg(of("hit", True).alias("hit_tp"), of("hit", False).alias("hit_fn"), of("free", True).alias("free_tp"), of("free", False).alias("free_fn"))
 
     def gap(c: dict) -> float | None:
@@ -377,8 +384,8 @@ def bootstrap_cost(t: Tables) -> DataFrame:
 @query("bootstrap_auc")
 def bootstrap_auc(t: Tables) -> DataFrame:
     """Each class resampled on its own, on scores of a grid of hundredths, so a replicate costs as much as the grid."""
-    at = F.round(P * 100).cast("int")
-    row = t.scored.agg(*(F.count_if((at == i) & (GOLD == g)).alias(f"{'np'[g]}{i}") for i in range(101) for g in (0, 1)))
+    at = F.round(P() * 100).cast("int")
+    row = t.scored.agg(*(F.count_if((at == i) & (GOLD() == g)).alias(f"{'np'[g]}{i}") for i in range(101) for g in (0, 1)))
     names = row.columns
     got = ev.resampled(row, names, ev.auc_of, 1000, 42, [[n for n in names if n[0] == c] for c in "pn"])
     return rounded(ev.interval(got))
@@ -387,8 +394,8 @@ def bootstrap_auc(t: Tables) -> DataFrame:
 @query("bootstrap_calibration")
 def bootstrap_calibration(t: Tables) -> DataFrame:
     """Expected calibration error by tenths, each class resampled on its own."""
-    at = F.least(F.floor(P / 0.1), F.lit(9)).cast("int")
-    row = t.scored.agg(*(F.count_if((at == i) & (GOLD == g)).alias(f"{'np'[g]}{i}") for i in range(10) for g in (0, 1)))
+    at = F.least(F.floor(P() / 0.1), F.lit(9)).cast("int")
+    row = t.scored.agg(*(F.count_if((at == i) & (GOLD() == g)).alias(f"{'np'[g]}{i}") for i in range(10) for g in (0, 1)))
     centre = {r["b"]: r["c"] for r in t.scored.groupBy(at.alias("b")).agg(F.avg("p").alias("c")).collect()}
 
     def ece(c: dict) -> float:
