@@ -41,6 +41,10 @@ SHORT = 32
 LOCAL = 256
 #: Most subsets that a light set may have.
 SUBSETS = 3000
+#: Candidate pairs verified in one block, about; a text is sent once to each block that needs it.
+PER_BLOCK = 500
+#: Rounds in which the members that a list's main component lacks try a few of its members each.
+ROUNDS, HUBS = 2, 6
 
 
 @dataclass(frozen=True)
@@ -185,7 +189,7 @@ def _lists(reps: DataFrame) -> DataFrame:
                 k = np.frombuffer(keys, np.uint64)
                 held.append((k, np.full(len(k), node, np.int64), np.full(len(k), size, np.int64)))
                 amount += len(k)
-                if amount > 2_000_000:
+                if amount > 1_000_000:
                     yield from flush()
                     amount = 0
         if held:
@@ -231,9 +235,10 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, t: Threshold, name: str)
     Each b goes to one block, so that a hub's partners are spread; whole texts of both ends are sent there.
     """
     spark = docs.sparkSession
-    blocks = 4 * stages.parallelism(spark)
+    pairs = stages.written(pairs.select("a", "b").distinct(), f"{name}-candidates")
+    blocks = max(1, min(stages.parallelism(spark), pairs.count() // PER_BLOCK))
     block = F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int")
-    pairs = stages.written(pairs.select("a", "b", block.alias("block")).distinct(), f"{name}-pairs")
+    pairs = pairs.select("a", "b", block.alias("block"))
     needs = pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = stages.member_bits(needs.select("id"))
     texts = stages.only_members(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", bits)
@@ -281,10 +286,14 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     first = lists.filter("kind = 0").select("node", "size", "a", "a_size").unionByName(stars).filter(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     links = verified(docs, first, n, t, "first")
     labels = stages.components(links)
-    rest = _apart(long, labels, near)
-    if not rest.isEmpty():
-        links = links.unionByName(verified(docs, rest, n, t, "rest"))
-        labels = stages.components(links)
+    for k in range(ROUNDS + 1):
+        rest = _apart(long, labels, near, None if k == ROUNDS else k)
+        if rest.isEmpty():
+            break
+        more = verified(docs, rest, n, t, f"rest{k}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = stages.components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     classes = reps.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
     linked = whole.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -305,14 +314,20 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     return sure.unionByName(safe).unionByName(once)
 
 
-def _apart(long: DataFrame, labels: DataFrame, near: F.Column) -> DataFrame:
-    """Pairs (a, b) of members of a long list that are in different components: every component but the list's
-    largest against all of the list, so that what a hub has united is not tried again."""
+def _apart(long: DataFrame, labels: DataFrame, near: F.Column, turn: int | None) -> DataFrame:
+    """Pairs (a, b) of members of a long list that are in different components: those outside of the list's
+    largest component against a few members of it (``turn`` picks them), or at last, when turn is None,
+    against the whole list. What a hub has united is not tried again."""
     named = long.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    named = stages.written(named, "named")
     per = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("key", F.col("top.c").alias("main"))
-    open_lists = named.join(per, "key")
+    open_lists = stages.written(named.join(per, "key"), "open")
     few = open_lists.filter("c <> main").select("key", "band", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("c").alias("a_c"))
     few = few.withColumn("band", F.explode(F.array(*(F.col("band") + F.lit(d) for d in (-1, 0, 1)))))
-    met = open_lists.select("key", "band", "node", "size", "c").join(few, ["key", "band"]).filter((F.col("c") != F.col("a_c")) & near)
+    others = open_lists.select("key", "band", "node", "size", "c")
+    if turn is not None:
+        # the least by a hash of the node alone are mostly the same in all lists of a group of near copies
+        picked = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("h"), "node", "size", "c")).alias(f"h{i}") for i in range(HUBS)]
+        hubs = open_lists.filter("c = main").groupBy("key", "band").agg(*picked)
+        others = hubs.select("key", "band", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("x")).select("key", "band", "x.node", "x.size", "x.c")
+    met = others.join(few, ["key", "band"]).filter((F.col("c") != F.col("a_c")) & near)
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
