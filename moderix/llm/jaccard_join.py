@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -44,7 +44,9 @@ SUBSETS = 3000
 #: Candidate pairs verified in one block, about; a text is sent once to each block that needs it.
 PER_BLOCK = 500
 #: Rounds in which the members that a list's main component lacks try a few of its members each.
-ROUNDS, HUBS = 2, 6
+ROUNDS, HUBS = 1, 6
+#: Bits of a set's parity sketch.
+PARITY = 1024
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,21 @@ def list_keys(h: np.ndarray, level: np.ndarray, t: Threshold) -> np.ndarray:
     return h[np.argsort(rank, kind="stable")[:need]]
 
 
+def parities(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each set the parity of its elements in each of PARITY cells, as 64-bit words. Two sketches differ in at most as
+    many bits as the sets in elements, which bounds their similarity from above."""
+    sets = len(first) - 1
+    cell = np.repeat(np.arange(sets) * PARITY, np.diff(first)) + (h >> np.uint64(20)).astype(np.int64) % PARITY
+    odd = (np.bincount(cell, minlength=sets * PARITY) & 1).astype(np.uint8).reshape(sets, PARITY)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def may_link(num: int, den: int) -> F.Column:
+    """size, a_size, parity and a_parity allow a link: at most (1 - t) / (1 + t) of all elements may differ."""
+    differ = F.aggregate(F.zip_with("parity", "a_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return differ * (den + num) <= (F.col("size") + F.col("a_size")) * (den - num)
+
+
 def _sketch(docs: DataFrame, n: int, t: Threshold) -> tuple[np.ndarray, int]:
     """Levels of the count sketch (8 bits a counter, 2 MB) and the boundary between light and heavy."""
     sizes = 64
@@ -118,7 +135,7 @@ def _sketch(docs: DataFrame, n: int, t: Threshold) -> tuple[np.ndarray, int]:
 
 
 def _classes(docs: DataFrame, n: int, t: Threshold, level: np.ndarray, boundary: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's digest, keys (null in all but the first of a task's copies)."""
+    """doc_id, n_shingles, two halves of the set's digest, keys and parity sketch (null in all but the first of a task's copies)."""
     held = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +158,11 @@ def _classes(docs: DataFrame, n: int, t: Threshold, level: np.ndarray, boundary:
                         made.append(list_keys(own, held.value, t))
                     keys.append(np.concatenate(made).tobytes())
                 sig = np.frombuffer(b"".join(sig), np.int64).reshape(-1, 2)
-                cols = [b.column(0).slice(w.docs.start, w.docs.stop - w.docs.start).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array(np.ascontiguousarray(sig[:, 0])), pa.array(np.ascontiguousarray(sig[:, 1])), pa.array(keys, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "s1", "s2", "keys"])
+                parity = list(parities(first, h))
+                cols = [b.column(0).slice(w.docs.start, w.docs.stop - w.docs.start).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array(np.ascontiguousarray(sig[:, 0])), pa.array(np.ascontiguousarray(sig[:, 1])), pa.array(keys, pa.binary()), pa.array([None if k is None else x for k, x in zip(keys, parity, strict=True)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "s1", "s2", "keys", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys binary, parity array<long>")
 
 
 def _lists(reps: DataFrame) -> DataFrame:
@@ -230,15 +248,15 @@ def _lists(reps: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, t: Threshold, name: str) -> DataFrame:
-    """Of the candidate (a, b) rows those that link, as stars within each block of b.
+    """Of the candidate (a, b, route) rows those that link, as stars within each block.
 
-    Each b goes to one block, so that a hub's partners are spread; whole texts of both ends are sent there.
+    Pairs of one route meet in one block, to which the whole texts of both ends are sent: short lists route by their key, so that a
+    group's texts go to one place; a hub's pairs route by their other end, so that they are spread.
     """
     spark = docs.sparkSession
-    pairs = stages.written(pairs.select("a", "b").distinct(), f"{name}-candidates")
+    pairs = stages.written(pairs.groupBy("a", "b").agg(F.min("route").alias("route")), f"{name}-candidates")
     blocks = max(1, min(stages.parallelism(spark), pairs.count() // PER_BLOCK))
-    block = F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int")
-    pairs = pairs.select("a", "b", block.alias("block"))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("route"), F.lit(blocks)).cast("int").alias("block"))
     needs = pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = stages.member_bits(needs.select("id"))
     texts = stages.only_members(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", bits)
@@ -275,7 +293,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     level, boundary = _sketch(docs, n, t)
     rows = stages.written(_classes(docs, n, t, level, boundary), "sets")
     whole = rows.filter("doc_id is not null and n_shingles > 0")
-    reps = stages.written(whole.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys", ignorenulls=True).alias("keys")), "reps")
+    reps = stages.written(whole.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys", ignorenulls=True).alias("keys"), F.first("parity", ignorenulls=True).alias("parity")), "reps")
     lists = stages.written(_lists(reps), "lists")
     near = (F.greatest("size", "a_size") * num <= F.least("size", "a_size") * den) & (F.col("a") != F.col("node"))
     # kind 1: a hub for each list and band of sizes; bands are as wide as sizes that may link
@@ -283,16 +301,16 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     long = lists.filter("kind = 1").select("key", "node", "size", band.alias("band"))
     hubs = long.groupBy("key", "band").agg(F.min(F.struct("node", "size")).alias("hub"))
     stars = long.join(hubs, ["key", "band"]).select("node", "size", F.col("hub.node").alias("a"), F.col("hub.size").alias("a_size"))
-    first = lists.filter("kind = 0").select("node", "size", "a", "a_size").unionByName(stars).filter(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    links = verified(docs, first, n, t, "first")
+    ends = (F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    short = lists.filter("kind = 0").filter(near).select(*ends, F.col("key").alias("route"))
+    links = verified(docs, short.unionByName(stars.filter(near).select(*ends, F.greatest("a", "node").alias("route"))), n, t, "first")
     labels = stages.components(links)
     for k in range(ROUNDS + 1):
-        rest = _apart(long, labels, near, None if k == ROUNDS else k)
+        rest = _apart(long, labels, reps.select("node", "parity"), near & may_link(num, den), None if k == ROUNDS else k)
         if rest.isEmpty():
-            break
-        more = verified(docs, rest, n, t, f"rest{k}")
+            continue
+        more = verified(docs, rest.withColumn("route", F.col("b")), n, t, f"rest{k}")
         if not more.isEmpty():
-            links = links.unionByName(more)
             labels = stages.components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     classes = reps.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
     linked = whole.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
@@ -314,20 +332,21 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     return sure.unionByName(safe).unionByName(once)
 
 
-def _apart(long: DataFrame, labels: DataFrame, near: F.Column, turn: int | None) -> DataFrame:
+def _apart(long: DataFrame, labels: DataFrame, parity: DataFrame, near: F.Column, turn: int | None) -> DataFrame:
     """Pairs (a, b) of members of a long list that are in different components: those outside of the list's
     largest component against a few members of it (``turn`` picks them), or at last, when turn is None,
-    against the whole list. What a hub has united is not tried again."""
+    against the whole list. What a hub has united is not tried again; parity sketches rule out most of the rest."""
     named = long.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     per = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("key", F.col("top.c").alias("main"))
-    open_lists = stages.written(named.join(per, "key"), "open")
-    few = open_lists.filter("c <> main").select("key", "band", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("c").alias("a_c"))
+    open_lists = stages.written(named.join(per, "key").join(parity, "node"), "open")
+    few = open_lists.filter("c <> main").select("key", "band", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("c").alias("a_c"), F.col("parity").alias("a_parity"))
     few = few.withColumn("band", F.explode(F.array(*(F.col("band") + F.lit(d) for d in (-1, 0, 1)))))
-    others = open_lists.select("key", "band", "node", "size", "c")
+    others = open_lists.select("key", "band", "node", "size", "c", "parity")
     if turn is not None:
         # the least by a hash of the node alone are mostly the same in all lists of a group of near copies
-        picked = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("h"), "node", "size", "c")).alias(f"h{i}") for i in range(HUBS)]
+        picked = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("h"), "node", "size", "c", "parity")).alias(f"h{i}") for i in range(HUBS)]
         hubs = open_lists.filter("c = main").groupBy("key", "band").agg(*picked)
-        others = hubs.select("key", "band", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("x")).select("key", "band", "x.node", "x.size", "x.c")
-    met = others.join(few, ["key", "band"]).filter((F.col("c") != F.col("a_c")) & near)
+        others = hubs.select("key", "band", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("x")).select("key", "band", "x.node", "x.size", "x.c", "x.parity")
+    wanted = [others["key"] == few["key"], others["band"] == few["band"], F.col("c") != F.col("a_c"), near]
+    met = others.join(few, reduce(lambda x, y: x & y, wanted))
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
