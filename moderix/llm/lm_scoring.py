@@ -4,7 +4,7 @@ For each word w behind its history h of up to ``order - 1`` words of the same do
 S(w | h) = c(h w) / c(h) if h is empty or c(h w) >= ``MIN_COUNT``, else ALPHA * S(w | h without its first word);
 the count of the empty n-gram is the number of all words. A document's score is the sum of log S over its words.
 
-Relational form: documents are dealt to chunks by a hash of their id. Every chunk explodes its n-grams and sends each distinct
+Relational form: documents are dealt to chunks by a hash of id and text (a repeated id is no hot key). Every chunk explodes its n-grams and sends each distinct
 one once, with its count, to the partition of the count table that holds its hash; there the counts are summed and the
 totals are sent back to the chunks that asked, where they are joined to the exploded n-grams and summed per document. Sums
 are made within a chunk before anything is shuffled, so a frequent n-gram is one row from each chunk. The n-grams travel
@@ -94,7 +94,7 @@ def scored(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alph
     spark = docs.sparkSession
     chunks = stages.parallelism(spark)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    held = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    held = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def ask(table: pa.Table) -> pa.Table:
         keys, count = _counted(table.column("text"), order)
