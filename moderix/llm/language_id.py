@@ -143,14 +143,14 @@ def identified(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_
     hosts = hosts.withColumn("name", F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)).withColumn("suffix", F.substring_index("host", ".", -1))
     names = hosts.groupBy("name", "suffix").agg(*_sums(n, "n_host")).select("name", "suffix", counts.alias("n_name"))
     suffixes = names.groupBy("suffix").agg(*_sums(n, "n_name")).select("suffix", counts.alias("n_suffix"))
-    top = suffixes.agg(*_sums(n, "n_suffix")).select(counts.alias("n_all"))
+    top = [x or 0.0 for x in suffixes.agg(*_sums(n, "n_suffix")).first()]  # one number a language
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
     def smooth(counts_: Column, above: Column) -> Column:
         return F.zip_with(counts_, above, lambda c, p: (c + STRENGTH * p) / (total(counts_) + STRENGTH))
 
-    every = F.transform("n_all", lambda c: (c + 1.0) / (total(F.col("n_all")) + n))
-    levels = hosts.join(names, ["name", "suffix"]).join(suffixes, "suffix").crossJoin(F.broadcast(top))
+    every = F.array(*(F.lit((c + 1.0) / (sum(top) + n)) for c in top))
+    levels = hosts.join(names, ["name", "suffix"]).join(suffixes, "suffix")
     levels = levels.withColumn("p_suffix", smooth(F.col("n_suffix"), every)).withColumn("p_name", smooth(F.col("n_name"), F.col("p_suffix"))).select("host", "n_host", "p_name")
     fused = own.join(levels, "host")
     rest = F.zip_with("n_host", F.transform("local", lambda x: F.exp(x)), lambda c, s: F.greatest(c - s, F.lit(0.0)))
