@@ -247,14 +247,18 @@ def _lists(reps: DataFrame) -> DataFrame:
     return met.unionByName(packed.filter("part is null").selectExpr("1 kind", "key", "node", "size", "node a", "size a_size"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, t: Threshold, name: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, t: Threshold, name: str) -> DataFrame:
     """Of the candidate (a, b, route) rows those that link, as stars within each block.
 
+    Parity sketches rule out most pairs that do not link, before any text is fetched.
     Pairs of one route meet in one block, to which the whole texts of both ends are sent: short lists route by their key, so that a
     group's texts go to one place; a hub's pairs route by their other end, so that they are spread.
     """
     spark = docs.sparkSession
-    pairs = stages.written(pairs.groupBy("a", "b").agg(F.min("route").alias("route")), f"{name}-candidates")
+    pairs = pairs.groupBy("a", "b").agg(F.min("route").alias("route"))
+    pairs = pairs.join(reps.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("parity").alias("a_parity")), "a")
+    pairs = pairs.join(reps.select(F.col("node").alias("b"), "size", "parity"), "b").filter(may_link(t.num, t.den))
+    pairs = stages.written(pairs.select("a", "b", "route").distinct(), f"{name}-candidates")
     blocks = max(1, min(stages.parallelism(spark), pairs.count() // PER_BLOCK))
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("route"), F.lit(blocks)).cast("int").alias("block"))
     needs = pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -303,13 +307,13 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     stars = long.join(hubs, ["key", "band"]).select("node", "size", F.col("hub.node").alias("a"), F.col("hub.size").alias("a_size"))
     ends = (F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     short = lists.filter("kind = 0").filter(near).select(*ends, F.col("key").alias("route"))
-    links = verified(docs, short.unionByName(stars.filter(near).select(*ends, F.greatest("a", "node").alias("route"))), n, t, "first")
+    links = verified(docs, short.unionByName(stars.filter(near).select(*ends, F.greatest("a", "node").alias("route"))), reps, n, t, "first")
     labels = stages.components(links)
     for k in range(ROUNDS + 1):
         rest = _apart(long, labels, reps.select("node", "parity"), near & may_link(num, den), None if k == ROUNDS else k)
         if rest.isEmpty():
             continue
-        more = verified(docs, rest.withColumn("route", F.col("b")), n, t, f"rest{k}")
+        more = verified(docs, rest.withColumn("route", F.col("b")), reps, n, t, f"rest{k}")
         if not more.isEmpty():
             labels = stages.components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     classes = reps.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
