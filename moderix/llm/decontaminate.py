@@ -9,12 +9,13 @@ the lesser over the sum of the greater weights, where a shingle's weight is its
 the number of items that hold it, 1 for any other shingle. A match is 0.8 or more.
 
 A window without any shingle of its item has similarity 0, so windows are fingerprinted only around shingles
-that occur in some item; this drops no match. The index is broadcast: a benchmark whose index would pass ``LARGEST``
+that occur in some item; this drops no match. A document with fewer words than an item is one window as a whole, held against
+the items of any greater length: shared shingles weigh little, so no bound on the length follows from 0.8. The index is broadcast: a benchmark whose index would pass ``LARGEST``
 bytes is dealt out in several parts, each against all documents.
 
 Result: one row for each (document, item) that match, with the best window: doc_id, item_id, start_word, n_words, similarity.
 Null and empty texts and items match nothing; repeated rows are each reported; ties go to the first window. No items, no rows.
-An item of fewer than WORDS words matches only a document that has no other words.
+An item of fewer than WORDS words is one shingle and matches wherever a document has the same words in a row.
 """
 
 from __future__ import annotations
@@ -100,10 +101,39 @@ def index_of(ids: np.ndarray, texts: pa.Array) -> Index:
     return Index(np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], np.int64), prints, shingles, weight, known, table)
 
 
+def lookup(index: Index, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in fp, item's place) of all pairs that are near in some block."""
+    bits = 64 // BLOCKS
+    found = index.table[0][(fp & np.uint64((1 << bits) - 1)).astype(np.int64)].copy()
+    for b in range(1, BLOCKS):
+        found |= index.table[b][((fp >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    return np.nonzero(np.unpackbits(found, axis=1, count=len(index.ids), bitorder="little"))
+
+
+def short_matches(short: dict[int, dict[int, list[int]]], w: textvec.Words) -> dict[int, dict[int, tuple[float, int, int]]]:
+    """By document and item's place the first window that equals an item of fewer than WORDS words."""
+    out: dict[int, dict[int, tuple[float, int, int]]] = {}
+    for n, items in short.items():
+        doc, s = textvec.shingles(w, n)
+        whole = np.diff(w.first)[doc] >= n
+        doc, s = doc[whole], textvec.mix(s[whole] + np.uint64(n))
+        start = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        at = np.flatnonzero(np.isin(s, np.array(list(items), np.uint64)))
+        _, once = np.unique(np.stack([doc[at].astype(np.uint64), s[at]]), axis=1, return_index=True)
+        for j in at[once].tolist():
+            for i in items[int(s[j])]:
+                out.setdefault(int(doc[j]), {})[i] = (1.0, int(start[j]), n)
+    return out
+
+
 def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
     """(row, item's place, start word, words, similarity) of every match."""
     lengths = np.unique(index.words)
-    bits = 64 // BLOCKS
+    short: dict[int, dict[int, list[int]]] = {n: defaultdict(list) for n in lengths[lengths < WORDS].tolist()}
+    for i in np.flatnonzero(index.words < WORDS).tolist():
+        for x in index.shingles[i]:
+            short[int(index.words[i])][x].append(i)
+    lengths = lengths[lengths >= WORDS]
     filter_bits = np.zeros(1 << 16, bool)
     filter_bits[(index.known & np.uint64(0xFFFF)).astype(np.int64)] = True
     for w in textvec.pieces(column, textvec.LETTERS, latin=True):
@@ -111,20 +141,26 @@ def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int
         maybe = np.flatnonzero(filter_bits[(s & np.uint64(0xFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(index.known, s[maybe]), len(index.known) - 1)
         hits = maybe[index.known[at] == s[maybe]]
-        if not len(hits):
+        exact = short_matches(short, w)
+        if not len(hits) and not exact:
             continue
         first = np.searchsorted(doc, np.arange(len(w.doc_start)))
-        for d in np.unique(doc[hits]).tolist():
+        for d in sorted({*np.unique(doc[hits]).tolist(), *exact}):
             own = s[first[d] : first[d + 1]]
             words = int(w.first[d + 1] - w.first[d])
             place = hits[(hits >= first[d]) & (hits < first[d + 1])] - first[d]
             weights = np.ones(len(own), np.float32)
             weights[place] = [index.weight[x] for x in own[place].tolist()]
-            best: dict[int, tuple[float, int, int]] = {}
-            for n in lengths.tolist():
-                n_sh = max(1, n - WORDS + 1)
-                if words < n or (n < WORDS and words != n):
-                    continue
+            best: dict[int, tuple[float, int, int]] = exact.get(d, {})
+            if len(place) and len(lengths) and WORDS <= words < lengths[-1]:
+                fp = fingerprints(np.round((bit_signs(own) * weights[:, None]).sum(axis=0, dtype=np.float64), 6)[None])
+                _, item = lookup(index, fp)
+                for i in item[(index.words[item] > words) & (np.bitwise_count(fp[0] ^ index.prints[item]) <= RADIUS)].tolist():
+                    sim = similarity(index, own, i)
+                    if sim >= LEAST:
+                        best[i] = (sim, 0, words)
+            for n in lengths[lengths <= words].tolist() if len(place) else ():
+                n_sh = n - WORDS + 1
                 # starts of windows of n words that hold a hit
                 touched = np.zeros(len(own) + 1, np.int64)
                 np.add.at(touched, np.maximum(place - n_sh + 1, 0), 1)
@@ -137,10 +173,7 @@ def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int
                     run = np.zeros((hi - lo + 1, 64), np.float64)
                     np.cumsum(bit_signs(own[lo:hi]) * weights[lo:hi, None], axis=0, out=run[1:])
                     fp = fingerprints(np.round(run[group - lo + n_sh] - run[group - lo], 6))
-                    found = index.table[0][(fp & np.uint64((1 << bits) - 1)).astype(np.int64)].copy()
-                    for b in range(1, BLOCKS):
-                        found |= index.table[b][((fp >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)]
-                    win, item = np.nonzero(np.unpackbits(found, axis=1, count=len(index.ids), bitorder="little"))
+                    win, item = lookup(index, fp)
                     ok = (index.words[item] == n) & (np.bitwise_count(fp[win] ^ index.prints[item]) <= RADIUS)
                     for g, i in zip(group[win[ok]].tolist(), item[ok].tolist(), strict=True):
                         sim = similarity(index, own[g : g + n_sh], i)

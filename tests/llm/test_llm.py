@@ -294,6 +294,35 @@ def test_decontamination_against_brute_force(spark) -> None:
     assert decontaminate.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_an_item_and_short_items(spark) -> None:
+    rng = random.Random(15)
+    shared = [f"s{i}" for i in range(60)]  # a template of many items weighs little
+    items = [[f"t{rng.randrange(10**6)}" for _ in range(n)] for n in (59, 40, 12)] + [[*(f"u{k}x{i}" for i in range(30)), *shared] for k in range(40)] + ["just three words".split(), ["lone"], "a b a b".split()]
+    texts = [items[0][:58], items[0][3:], items[0][:40], items[1][:37] + ["x"], items[2][:5], items[5][:30], items[5][:27], items[0][:4], shared, []]
+    texts += [["so", *items[-3], "it", "is", *items[-3]], items[-3][:2], ["Lone"], ["x"] * 9 + ["lone"], ["a"] + items[-1] + items[-1], items[2] + items[0][:50] + ["lone"]]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = frame(spark, [" ".join(x) for x in texts])
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 6), r.start_word, r.n_words) for r in decontaminate.contaminated(rows, bench).collect()}
+
+    def bag(w: list[str], n: int) -> Counter:
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    held = Counter(x for w in items for x in bag(w, min(5, len(w))))
+    want = {}
+    for d, w in enumerate([x.lower() for x in t] for t in texts):
+        for i, item in enumerate(items):
+            n, best = min(len(item), len(w)), (0.0, 0, 0)
+            for k in range(len(w) - n + 1 if n else 0):
+                a, b = bag(w[k : k + n], min(5, n)), bag(item, min(5, len(item)))
+                low, high = (sum(v / held.get(x, 1) for x, v in c.items()) for c in (a & b, a | b))
+                best = max(best, (round(low / high, 6), -k, n))
+            if best[0] >= 0.8:
+                want[(d, i)] = (best[0], -best[1], n)
+    assert got == want
+    assert {(0, 0), (1, 0), (3, 1), (5, 5), (10, len(items) - 3), (13, len(items) - 2), (14, len(items) - 1)} <= set(want) and not {2, 4, 6, 7, 8, 9, 11} & {d for d, _ in want}
+    assert decontaminate.clean(rows, bench).count() == len(texts) - len({d for d, _ in want})
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("order", [1, 2, 3])
