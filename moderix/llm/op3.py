@@ -1,4 +1,4 @@
-"""Query op3: stupid-backoff scores of all documents."""
+"""Queries op3: stupid-backoff scores of all documents, by bigrams as the SQL says and by trigrams."""
 
 from __future__ import annotations
 
@@ -10,11 +10,19 @@ from moderix.llm import lm_scoring
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = lm_scoring.scored(docs)
+    return _rounded(lm_scoring.scored(docs))
+
+
+def op3_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _rounded(lm_scoring.scored(docs, 3))
+
+
+def _rounded(got: DataFrame) -> DataFrame:
     return got.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
-QUERIES = {"op3_lm_scoring": op3_lm_scoring}
+QUERIES = {"op3_lm_scoring": op3_lm_scoring, "op3_lm_scoring_order3": op3_lm_scoring_order3}
 ORACLE_SQL = {
     "op3_lm_scoring": r"""
 with l as (

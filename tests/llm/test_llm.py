@@ -344,6 +344,18 @@ def test_backoff_against_brute_force(spark, order: int) -> None:
     assert lm_scoring.scored(frame(spark, [])).count() == 0
 
 
+def test_trigram_query(spark, tmp_path) -> None:
+    from moderix.llm import registry
+
+    # "c" is seen twice behind "a b" and once behind "x b"; bigrams cannot tell the two
+    frame(spark, ["a b c", "a b c", "x b c", "x b d"]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: {r.doc_id: r.log_score for r in registry.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("op3_lm_scoring", "op3_lm_scoring_order3")}
+    ab, xb, b_c = np.log(2 / 12) + np.log(2 / 2), np.log(2 / 12) + np.log(2 / 2), np.log(3 / 4)
+    assert got["op3_lm_scoring"][0] == pytest.approx(ab + b_c, abs=1e-4) and got["op3_lm_scoring"][2] == pytest.approx(xb + b_c, abs=1e-4)
+    assert got["op3_lm_scoring_order3"][0] == pytest.approx(ab + np.log(2 / 2), abs=1e-4)
+    assert got["op3_lm_scoring_order3"][2] == pytest.approx(xb + np.log(0.4) + b_c, abs=1e-4)
+
+
 def test_packed_keys() -> None:
     for n in (1, 2, 500):
         k = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))
