@@ -11,7 +11,8 @@ the number of items that hold it, 1 for any other shingle. A match is 0.8 or mor
 A window without any shingle of its item has similarity 0, so windows are fingerprinted only around shingles
 that occur in some item; this drops no match. A document with fewer words than an item is one window as a whole, held against
 the items of any greater length: shared shingles weigh little, so no bound on the length follows from 0.8. The index is broadcast: a benchmark whose index would pass ``LARGEST``
-bytes is dealt out in several parts, each against all documents.
+bytes is dealt out in several parts, each against all documents. Weights are counted once over the whole benchmark and are the
+same in every part; those other than 1 go with each part, 16 bytes a shingle.
 
 Result: one row for each (document, item) that match, with the best window: doc_id, item_id, start_word, n_words, similarity.
 Null and empty texts and items match nothing; repeated rows are each reported; ties go to the first window. No items, no rows.
@@ -53,13 +54,30 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+@dataclass
+class Shared:
+    """Shingles that several items of the whole benchmark hold, by hash, and the number of those items."""
+
+    hash: np.ndarray
+    items: np.ndarray
+
+    def weights(self, s: np.ndarray) -> np.ndarray:
+        """The weight of each shingle: 1 over the number of items that hold it, 1 for any other."""
+        out = np.ones(len(s))
+        if len(self.hash) and len(s):
+            at = np.minimum(np.searchsorted(self.hash, s), len(self.hash) - 1)
+            hit = self.hash[at] == s
+            out[hit] = 1 / self.items[at[hit]]
+        return out
+
+
 @dataclass
 class Index:
     ids: np.ndarray
     words: np.ndarray  # length of each item in words
     prints: np.ndarray
     shingles: list[dict[int, int]]  # counts by hash
-    weight: dict[int, float]
+    shared: Shared
     known: np.ndarray  # sorted hashes of all shingles
     table: np.ndarray  # [block, value, item / 8] bits
 
@@ -77,20 +95,36 @@ def shingle_run(w: textvec.Words, doc: int) -> tuple[np.ndarray, int]:
     return (s if n == WORDS else textvec.mix(s + np.uint64(n))), m
 
 
-def index_of(ids: np.ndarray, texts: pa.Array) -> Index:
-    got = []
+def item_runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, words, shingles in order) of every text that has words."""
     for w in textvec.pieces(texts, textvec.LETTERS, latin=True):
         for d in range(len(w.doc_start) - 1):
             s, m = shingle_run(w, d)
             if m:
-                got.append((ids[w.docs.start + d], m, s))
-    held: dict[int, int] = defaultdict(int)
-    for _, _, s in got:
-        for x in set(s.tolist()):
-            held[x] += 1
-    weight = {x: 1 / k for x, k in held.items()}
-    known = np.sort(np.array(list(held), np.uint64))
-    prints = np.array([fingerprints((bit_signs(s) * np.array([weight[x] for x in s.tolist()], np.float32)[:, None]).sum(axis=0)[None])[0] for _, _, s in got], np.uint64)
+                yield w.docs.start + d, m, s
+
+
+def shared_shingles(benchmark: DataFrame, text_col: str = "text") -> Shared:
+    """The shingles that more than one row of the whole benchmark holds."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [np.unique(s) for _, _, s in item_runs(b.column(0))]
+            if runs:
+                s, k = np.unique(np.concatenate(runs), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(k.astype(np.int64))], ["shingle", "k"])
+
+    each = benchmark.select(F.col(text_col).cast("string")).mapInArrow(count, "shingle long, k long")
+    got = each.groupBy("shingle").agg(F.sum("k").alias("k")).filter("k > 1").toArrow()
+    s, k = (got.column(i).to_numpy() for i in range(2))
+    order = np.argsort(s.view(np.uint64))
+    return Shared(s.view(np.uint64)[order], k[order])
+
+
+def index_of(ids: np.ndarray, texts: pa.Array, shared: Shared) -> Index:
+    got = [(ids[row], m, s) for row, m, s in item_runs(texts)]
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s in got)]))
+    prints = np.array([fingerprints((bit_signs(s) * shared.weights(s).astype(np.float32)[:, None]).sum(axis=0)[None])[0] for _, _, s in got], np.uint64)
     shingles = [dict(zip(*(x.tolist() for x in np.unique(s, return_counts=True)), strict=True)) for _, _, s in got]
     bits = 64 // BLOCKS
     table = np.zeros((BLOCKS, 1 << bits, (len(got) + 7) // 8), np.uint8)
@@ -98,7 +132,7 @@ def index_of(ids: np.ndarray, texts: pa.Array) -> Index:
     for i, p in enumerate(prints.tolist()):
         for b in range(BLOCKS):
             table[b, ((p >> (b * bits)) & ((1 << bits) - 1)) ^ masks, i // 8] |= 1 << (i % 8)
-    return Index(np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], np.int64), prints, shingles, weight, known, table)
+    return Index(np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], np.int64), prints, shingles, shared, known, table)
 
 
 def lookup(index: Index, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +183,7 @@ def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int
             own = s[first[d] : first[d + 1]]
             words = int(w.first[d + 1] - w.first[d])
             place = hits[(hits >= first[d]) & (hits < first[d + 1])] - first[d]
-            weights = np.ones(len(own), np.float32)
-            weights[place] = [index.weight[x] for x in own[place].tolist()]
+            weights = index.shared.weights(own).astype(np.float32)
             best: dict[int, tuple[float, int, int]] = exact.get(d, {})
             if len(place) and len(lengths) and WORDS <= words < lengths[-1]:
                 fp = fingerprints(np.round((bit_signs(own) * weights[:, None]).sum(axis=0, dtype=np.float64), 6)[None])
@@ -189,9 +222,10 @@ def similarity(index: Index, window: np.ndarray, item: int) -> float:
     mine: dict[int, int] = defaultdict(int)
     for x in window.tolist():
         mine[x] += 1
-    weight = index.weight.get
-    low = sum(min(k, theirs.get(x, 0)) * weight(x, 1.0) for x, k in mine.items())
-    high = sum(max(k, theirs.get(x, 0)) * weight(x, 1.0) for x, k in mine.items()) + sum(k * weight(x, 1.0) for x, k in theirs.items() if x not in mine)
+    every = list(mine | theirs)
+    weight = dict(zip(every, index.shared.weights(np.array(every, np.uint64)).tolist(), strict=True))
+    low = sum(min(k, theirs.get(x, 0)) * weight[x] for x, k in mine.items())
+    high = sum(max(k, theirs.get(x, 0)) * weight[x] for x, k in mine.items()) + sum(k * weight[x] for x, k in theirs.items() if x not in mine)
     return low / high if high else 0.0
 
 
@@ -199,15 +233,16 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     """The benchmark's index in parts of bounded size."""
     per = BLOCKS * (1 << (64 // BLOCKS)) // 8  # bytes of the block table for each item
     ids, texts, size = [], [], 0
+    shared = shared_shingles(benchmark, text_col)
     for row in benchmark.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += per + 100 * (len(row[1]) // 4 + 1)
         if size > LARGEST:
-            yield index_of(np.array(ids), pa.array(texts, pa.large_string()))
+            yield index_of(np.array(ids), pa.array(texts, pa.large_string()), shared)
             ids, texts, size = [], [], 0
     if ids:
-        yield index_of(np.array(ids), pa.array(texts, pa.large_string()))
+        yield index_of(np.array(ids), pa.array(texts, pa.large_string()), shared)
 
 
 SHAPE = "item_id long, start_word long, n_words long, similarity double"

@@ -323,6 +323,24 @@ def test_documents_shorter_than_an_item_and_short_items(spark) -> None:
     assert decontaminate.clean(rows, bench).count() == len(texts) - len({d for d, _ in want})
 
 
+def test_split_benchmark_has_the_weights_of_the_whole(spark, monkeypatch) -> None:
+    shared = [f"s{i}" for i in range(40)]
+    items = [[*(f"u{k}x{i}" for i in range(30)), *shared] for k in range(12)] + [[f"v{i}" for i in range(20)]]
+    texts = [items[3][:30] + ["y"] * 40, ["z"] + items[5][:30] + shared[:20] + ["q"] * 20, items[7][:33], shared + ["p"] * 30, items[2][:60] + ["r"] * 10, [*items[-1], *shared]]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = frame(spark, [" ".join(x) for x in texts])
+
+    def found() -> tuple[list, int, int]:
+        got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 9)) for r in decontaminate.contaminated(rows, bench).collect())
+        return got, decontaminate.clean(rows, bench).count(), len(list(decontaminate.indexes(bench)))
+
+    whole = found()
+    monkeypatch.setattr(decontaminate, "LARGEST", 1)
+    parts = found()
+    assert whole[2] == 1 and parts[2] == len(items)
+    assert parts[:2] == whole[:2] and len(whole[0]) >= 2
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("order", [1, 2, 3])
