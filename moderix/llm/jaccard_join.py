@@ -135,7 +135,7 @@ def _sketch(docs: DataFrame, n: int, t: Threshold) -> tuple[np.ndarray, int]:
 
 
 def _classes(docs: DataFrame, n: int, t: Threshold, level: np.ndarray, boundary: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's digest, keys and parity sketch (null in all but the first of a task's copies)."""
+    """doc_id, n_shingles, two halves of the set's digest, keys and parity sketch (null in all but the first of a task's copies that have a doc_id)."""
     held = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +144,12 @@ def _classes(docs: DataFrame, n: int, t: Threshold, level: np.ndarray, boundary:
             for w in textvec.pieces(b.column(1)):
                 first, h = textvec.shingle_sets(w, n)
                 bounds, sig, keys = first.tolist(), [], []
-                for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                named = b.column(0).slice(w.docs.start, w.docs.stop - w.docs.start).is_valid().to_pylist()
+                for a, z, ok in zip(bounds[:-1], bounds[1:], named, strict=True):
                     own = h[a:z]
                     digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     sig.append(digest)
-                    if z == a or digest in seen:
+                    if z == a or not ok or digest in seen:
                         keys.append(None)
                         continue
                     if len(seen) < 1_000_000:

@@ -114,6 +114,13 @@ def test_jaccard_of_nothing_and_null_ids(spark) -> None:
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
 
 
+def test_jaccard_first_copy_without_an_id(spark) -> None:
+    text = " ".join(WORDS[:60])
+    rows = spark.createDataFrame([(None, text), (4, text), (2, text), (1, text + " more"), (7, "a b c d e f")], DOC).coalesce(1)
+    assert sorted(((r.doc_id, r.component_id) for r in jaccard_join.components(rows).collect()), key=str) == [(1, 1), (2, 1), (4, 1), (7, 7), (None, None)]
+    assert sorted(str(r.doc_id) for r in jaccard_join.deduplicated(rows).collect()) == ["1", "7", "None"]
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
