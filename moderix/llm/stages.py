@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,27 +26,70 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: later steps read the files, so a lost executor costs
-    at most the tasks that it was running."""
+    at most the tasks that it was running. Tables that ``dropped`` has not removed go when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _left:
+        atexit.register(_swept, spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    _left[path] = weakref.ref(out)
+    return out
+
+
+#: Tables in the shared folder that are there yet.
+_left: dict[str, weakref.ref] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+    _left.pop(path, None)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` has made; nothing may read them any more."""
+    for df in tables:
+        for path in [p for p, table in _left.items() if table() is df]:
+            _remove(df.sparkSession, path)
+
+
+def _swept(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        for path in list(_left):
+            _remove(spark, path)
 
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size, for numbers of parts that follow the input; results never depend on it. Where Spark
+    knows nothing (its estimate is then beyond a zettabyte), 0."""
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return 0 if size >> 60 else size
+
+
 CHUNKS = 64
 
 
 def table_sum(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None], size: int, how: str = "add") -> np.ndarray:
-    """Fill a fixed-size table of 32-bit counters in each task and combine the tables, streamed by chunk.
+    """Fill a fixed-size table of 32-bit counters in each task and combine the tables, streamed by chunk, in 64 bits.
 
-    The result, ``4 * size`` bytes however many rows there are, is the only thing that reaches the driver.
+    The result, ``8 * size`` bytes however many rows there are, is the only thing that reaches the driver. A part travels
+    in the narrowest type that holds it.
     """
     per, op = size // CHUNKS, getattr(np, how)
 
+    def narrow(part: np.ndarray) -> bytes:
+        width = next(k for k in (1, 2, 4, 8) if not int(part.max()) >> 8 * k)
+        return bytes([width]) + part.astype(f"<u{width}").tobytes()
+
+    def wide(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.uint64)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, any_row = np.zeros(size, np.uint32), False
         for b in batches:
@@ -54,21 +99,21 @@ def table_sum(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None],
         for k in range(CHUNKS if any_row else 0):
             part = own[k * per : (k + 1) * per]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([narrow(part)], pa.binary())], ["chunk", "part"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, np.ndarray] = {}
         for b in batches:
             for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(part, np.uint32)
-                got[k] = part.copy() if k not in got else op(got[k], part)
+                part = wide(part)
+                got[k] = part if k not in got else op(got[k], part)
         for k, v in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["chunk", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([narrow(v)], pa.binary())], ["chunk", "part"])
 
     parts = df.mapInArrow(local, "chunk int, part binary").repartition(min(CHUNKS, parallelism(df.sparkSession)), "chunk").mapInArrow(merge, "chunk int, part binary").collect()
-    out = np.zeros(size, np.uint32)
+    out = np.zeros(size, np.uint64)
     for k, part in parts:
-        out[k * per : (k + 1) * per] = np.frombuffer(part, np.uint32)
+        out[k * per : (k + 1) * per] = wide(part)
     return out
 
 
@@ -82,7 +127,7 @@ def member_bits(ids: DataFrame) -> np.ndarray:
         h = id_hash(b.column(0).to_numpy(zero_copy_only=False))
         np.bitwise_or.at(own, h >> 5, np.uint32(1) << (h & 31).astype(np.uint32))
 
-    return table_sum(ids, fill, MEMBERS // 32, "bitwise_or")
+    return table_sum(ids, fill, MEMBERS // 32, "bitwise_or").astype(np.uint32)
 
 
 def id_hash(ids: np.ndarray) -> np.ndarray:
@@ -95,12 +140,10 @@ def only_members(df: DataFrame, id_col: str, bits: np.ndarray, may: bool = True)
     """Rows whose id may be a member, or (may = False) all others, those without an id among them: decided on the id alone, so that other columns stay in the JVM."""
     held = df.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def member(ids):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        h = id_hash(ids.fillna(0).to_numpy())
-        return pd.Series(((held.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1) & ids.notna().to_numpy())
+    @F.arrow_udf("boolean")
+    def member(ids: pa.Array) -> pa.Array:
+        h = id_hash(ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(((held.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1) & ids.is_valid().to_numpy(zero_copy_only=False))
 
     said = member(F.col(f"`{id_col}`").cast("long"))
     return df.filter(said if may else ~said)
@@ -121,7 +164,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("u", "v").alias("u"), "v", "m")
         pairs = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = written(pairs, "edges")
+        old, e = e, written(pairs, "edges")
+        dropped(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
