@@ -13,14 +13,15 @@ Template: ``### ROLE:`` line end TEXT ``</turn>`` line end. In texts and roles `
 occur inside a text, and ``parse`` gives back exactly the turns. The loss mask has a span (start, length in
 code points, learn) for the text of each turn; learn is true for assistant turns.
 
-Null payloads and roles count as empty; events that agree in all of (conv, message, seq) are ordered by kind, role and payload; a
+A message is known by its conversation and the columns named in ``by`` (one ``message`` unless said otherwise), in whose order messages are
+rendered, nulls first. Null payloads and roles count as empty; events that agree in all of (conv, message, seq) are ordered by kind, role and payload; a
 repeated event counts as often as it is there; a null conversation or message is a key like any other. Extra
-columns are not read. An empty log gives no rows.
+columns are not read. An empty log gives no rows. ``numbered`` tells rows of one turn apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "</turn>\n"
@@ -41,20 +42,27 @@ def unescape(x: Column) -> Column:
     return F.when(F.contains(x, F.lit("\\")), F.array_join(F.transform(F.split(x, r"\\\\", -1), plain), "\\")).otherwise(x)
 
 
-def fold(log: DataFrame) -> DataFrame:
-    """(conv, message, role, text): the final messages of a log."""
-    e = log.select("conv", "seq", "message", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("payload", F.lit("")).alias("payload"))
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of (conv, turn, role, text) with a number among those of one conversation and turn, by role and text: equal rows get
+    numbers of their own. Only rows of one turn are sorted together."""
+    of_turn = Window.partitionBy("conv", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    return rows.withColumn("copy", F.row_number().over(of_turn))
+
+
+def fold(log: DataFrame, by: tuple[str, ...] = ("message",)) -> DataFrame:
+    """(conv, by, role, text): the final messages of a log."""
+    e = log.select("conv", "seq", *by, "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("payload", F.lit("")).alias("payload"))
     event = F.struct("seq", "kind", "role", "payload")
-    got = e.groupBy("conv", "message").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    got = e.groupBy("conv", *by).agg(F.array_sort(F.collect_list(event)).alias("events"))
     last = F.coalesce(F.array_max(F.transform("events", lambda x, i: F.when(x["kind"].isin("edit", "regenerate"), i + 1))), F.lit(0))
     kept = F.expr("slice(events, greatest(last, 1), size(events))")
     text = F.array_join(F.transform(F.filter(kept, lambda x: x["kind"].isin("edit", "delta")), lambda x: x["payload"]), "")
-    return got.withColumn("last", last).select("conv", "message", F.element_at("events", -1)["role"].alias("role"), text.alias("text"))
+    return got.withColumn("last", last).select("conv", *by, F.element_at("events", -1)["role"].alias("role"), text.alias("text"))
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """(conv, formatted, mask): messages of (conv, message, role, text) in order of message."""
-    m = messages.select("conv", "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def render(messages: DataFrame, by: tuple[str, ...] = ("message",)) -> DataFrame:
+    """(conv, formatted, mask): messages of (conv, by, role, text) in order of ``by``."""
+    m = messages.select("conv", F.struct(*by).alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit("### "), escape(F.col("role"), True), F.lit(":\n"))
     turn = F.struct("message", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == LEARN).alias("learn"))
     got = m.groupBy("conv").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

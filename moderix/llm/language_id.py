@@ -14,7 +14,8 @@ first, and the levels above from these, so a host with a third of all pages is p
 taken out of its host's counts.
 
 Null and empty HTML: the text says nothing, the other evidence decides; a null url has the empty host. Ties go to the language that is first by
-name. No labelled documents: no languages, so lang is null.
+name. No labelled documents: no languages, so lang is null. Repeated pages are each identified, and each count for their host; no pages, no rows. All languages
+of the labelled documents are taken; only the named columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -25,22 +26,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moderix.llm import textvec
+from moderix.llm import stages, textvec
 
 #: Most labelled documents of each language that the fit takes.
 SAMPLE = 300
+#: Sampled ids that are broadcast, at most: about 3 MB. More, of very many languages, are joined by key.
+BROADCAST = 100_000
 BUCKETS = 1 << 16
 TEMPER, DECLARED, ADDRESS, STRENGTH = 0.2, 0.9, 0.8, 5.0
-HIDDEN = re.compile(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+OPEN = re.compile(r"(?i)<(?:(script|style|template|noscript)\b|!--)?")
+CLOSE = {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "template", "noscript")} | {None: re.compile("-->")}
 
 
 def visible(html: str | None) -> str:
+    """The text between the tags, without scripts, styles, templates and comments, in time linear in the page's length: an end that
+    was not found once is not looked for again."""
     import html as entities
 
-    return entities.unescape(HIDDEN.sub(" ", html or ""))
+    page, out, at, absent = html or "", [], 0, set()
+    while (m := OPEN.search(page, at)) and "<" not in absent:
+        name = m[1].lower() if m[1] else None
+        to = None
+        if (name or len(m[0]) > 1) and name not in absent:
+            if (end := CLOSE[name].search(page, m.end())) is None:
+                absent.add(name)
+            else:
+                to = end.end()
+        if to is None and (to := page.find(">", m.start()) + 1) == 0:
+            absent.add("<")
+            break
+        out += [page[at : m.start()], " "]
+        at = to
+    return entities.unescape("".join([*out, page[at:]]))
 
 
 def bucket_features(texts: pa.Array) -> Iterator[tuple[textvec.Words, np.ndarray, np.ndarray]]:
@@ -79,15 +99,20 @@ def fit(texts: pa.Array, langs: list[str]) -> TextModel:
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """A text model from (doc_id, text, lang)."""
-    spark = docs.sparkSession
-    known = docs.select(F.col("doc_id").alias("id"), "lang").filter("id is not null and lang is not null")
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    ids = [tuple(r) for lang in langs for r in known.filter(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
-    if not ids:
+    """A text model from (doc_id, text, lang), of all languages; the sample is taken in one pass."""
+    known = docs.select(F.col("doc_id").alias("id"), "lang").filter("id is not null and lang is not null").distinct()
+    # the greatest hash that is taken, by language: counts by range of hashes tell where the sample ends, so no language is sorted in one task
+    place = F.shiftrightunsigned(F.xxhash64("id"), 52)
+    counts = known.groupBy("lang", place.alias("at")).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = counts.withColumn("before", before).filter(F.col("before") < sample).select("lang", "at", "before")
+    near = known.withColumn("at", place).join(taken, ["lang", "at"])
+    rank = F.row_number().over(Window.partitionBy("lang", "at").orderBy(F.xxhash64("id"), "id")) + F.col("before")
+    picked = stages.written(near.withColumn("rank", rank).filter(F.col("rank") <= sample).select("id", "lang"), "sample")
+    picked = F.broadcast(picked) if picked.count() <= BROADCAST else picked
+    rows = docs.select(F.col("doc_id").alias("id"), "lang", F.coalesce("text", F.lit("")).alias("text")).join(picked, ["id", "lang"]).toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    if not rows.num_rows:
         return TextModel([], np.zeros((0, BUCKETS)))
-    picked = spark.createDataFrame(list(dict.fromkeys(ids)), known.schema)
-    rows = docs.select(F.col("doc_id").alias("id"), "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), ["id", "lang"]).toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return fit(rows.column("text").combine_chunks(), rows.column("lang").to_pylist())
 
 
@@ -134,8 +159,6 @@ def identified(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_
     n = len(model.languages)
     if not n:
         return pages.select(id_col, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("p"))
-    from moderix.llm import stages
-
     own = stages.written(evidence(pages, model, id_col, url_col, html_col), "evidence")
     soft = own.select("host", F.transform("local", lambda x: F.exp(x)).alias("s"))
     counts = F.array(*(f"c{k}" for k in range(n)))

@@ -10,7 +10,10 @@ travel to every page that shows them, so a payload that a third of all pages sho
 Stored form: 8-bit greyscale PNG, ``WIDTH`` samples a line, written and read here. ``png`` uses filter type 0;
 ``unpng`` reads all five types and checks every CRC.
 
-Null HTML gives an empty array; a figure without a medium gives only its text; scripts and styles give nothing.
+Null and empty HTML give an empty array; a figure without a medium gives only its text; scripts and styles give nothing. Malformed
+HTML never fails: a broken declaration is left out up to its ``>``, a caption ends with its figure at the latest, and what is open at the end is closed.
+Repeated pages and payloads each count; a repeated digest among the payloads is one. Only the named columns are read, whatever else there is. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -110,6 +113,25 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self) -> None:
+        """Give an open caption to the media of its figure, or keep it as text where there are none."""
+        if self.caption is None:
+            return
+        text = re.sub(r"\s+", " ", "".join(self.caption)).strip()
+        self.caption = None
+        media = [x for x in self.items[self.figures[-1] :] if x["kind"] == "media"]
+        for x in media:
+            x["caption"] = text
+        if not media:
+            self.words.append(text)
+            self.put_text()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no such section in HTML
+            return self.rawdata.find(">", i) + 1 or -1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.HIDDEN:
             self.hidden += 1
@@ -117,9 +139,11 @@ class _Sequence(HTMLParser):
             self.put_text()
             self.items.append({"kind": "media", "text": None, "ref": ref, "caption": dict(attrs).get("alt")})
         elif tag == "figure":
+            self.end_caption()
             self.put_text()
             self.figures.append(len(self.items))
         elif tag == "figcaption" and self.figures:
+            self.end_caption()
             self.put_text()
             self.caption = []
         elif tag in ("p", "br", "div", "li", "h1", "h2", "h3", "td", "tr"):
@@ -128,16 +152,10 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, start = re.sub(r"\s+", " ", "".join(self.caption)).strip(), self.figures[-1]
-            media = [x for x in self.items[start:] if x["kind"] == "media"]
-            for x in media:
-                x["caption"] = text
-            self.caption = None
-            if not media and text:
-                self.words.append(text)
-                self.put_text()
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure" and self.figures:
+            self.end_caption()
             self.put_text()
             self.figures.pop()
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "td", "tr"):
@@ -152,8 +170,7 @@ def parsed(html: str | None) -> list[dict]:
     page = _Sequence()
     page.feed(html or "")
     page.close()
-    if page.caption:
-        page.words += page.caption
+    page.end_caption()
     page.put_text()
     return [{"pos": i, **x} for i, x in enumerate(page.items)]
 
@@ -179,7 +196,7 @@ def stored(payloads: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 500):
                 part = [(d, p) for d, p in zip(b.column(0).slice(at, 500).to_pylist(), b.column(1).slice(at, 500).to_pylist(), strict=True) if d not in done]
                 part = list(dict(part).items())
-                if len(done) < 1_000_000:
+                if len(done) < 100_000:
                     done.update(d for d, _ in part)
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.string()), pa.array([png(padded(p or b"")) for _, p in part], pa.binary())], ["digest", "media"])
 

@@ -8,27 +8,30 @@ from pyspark.sql import functions as F
 from moderix.llm import chat
 
 CONTROL = "\\### Assistant: </turn> ok"
+#: What tells the messages of a conversation apart.
+KEY = ("turn", "copy")
 
 
 def log_of(rows: DataFrame) -> DataFrame:
-    """The events that would have led to these (conv_id, turn, role, text) rows: an assistant's answer is drafted, regenerated and
-    streamed in two deltas; any other text is streamed with a slip and then edited."""
+    """The events that would have led to these (conv_id, turn, role, text) rows, each a message of its own: an assistant's answer is
+    drafted, regenerated and streamed in two deltas; any other text is streamed with a slip and then edited."""
     text = F.coalesce("text", F.lit(""))
     half = (F.length(text) / 2).cast("int")
 
     def event(k: int, kind: str, payload: F.Column) -> F.Column:
-        return F.struct((F.col("turn") * 4 + k).alias("seq"), F.lit(kind).alias("kind"), payload.alias("payload"))
+        return F.struct(F.lit(k).alias("seq"), F.lit(kind).alias("kind"), payload.alias("payload"))
 
     streamed = F.array(event(0, "delta", F.lit("draft")), event(1, "regenerate", F.lit("")), event(2, "delta", F.substring(text, F.lit(1), half)), event(3, "delta", F.substring(text, half + 1, F.length(text))))
     edited = F.array(event(0, "delta", F.lit("slip")), event(1, "edit", text))
     events = F.explode(F.when(F.col("role") == chat.LEARN, streamed).otherwise(edited)).alias("e")
-    return rows.select(F.col("conv_id").alias("conv"), F.col("turn").alias("message"), "role", events).select("conv", "message", "role", "e.*")
+    own = chat.numbered(rows.select(F.col("conv_id").alias("conv"), "turn", "role", "text"))
+    return own.select("conv", *KEY, "role", events).select("conv", *KEY, "role", "e.*")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], rows.schema)
-    parsed = chat.parse(chat.render(chat.fold(log_of(rows.unionByName(extra)))))
+    parsed = chat.parse(chat.render(chat.fold(log_of(rows.unionByName(extra)), KEY), KEY))
     each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: t["text"])
     return parsed.select(
@@ -53,9 +56,9 @@ f as (
     + length(role) + len(role) - len(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), chr(10), '')) + 14 as n
   from c)
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(n) as bigint) as formatted_chars
 from f group by conv_id
 """

@@ -6,7 +6,8 @@ space mark after another character, so a text falls apart before each run of spa
 can be encoded one by one; segments that were met before come from a bounded cache. Each segment that enters
 the cache is checked, an Arrow batch at a time, against the sentencepiece library.
 
-Null and empty texts have no ids and decode to the empty text. Texts are taken whole.
+Null and empty texts have no ids and decode to the empty text. Texts are taken whole. Every row gives a row, repeated ones and those without an id too; an
+empty table gives none; only the named columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Segments kept by one worker; more only saves time.
-CACHE = 800_000
+#: Segments of up to ``SHORT`` characters in each of the two generations that a worker keeps: at most about 40 MB each; more only saves time.
+CACHE, SHORT = 150_000, 64
 #: Rows of an Arrow batch that are handled at a time.
 BATCH = 1000
 
@@ -63,6 +64,7 @@ class PieceBpe:
         self.decimal = np.array([f"{i}," for i in range(len(proto.pieces))], "S8")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def agenda(self, segment: str) -> list[int]:
         """The ids of one segment."""
@@ -104,32 +106,36 @@ class PieceBpe:
 
     def _fill(self, new: list[str]) -> dict[str, bytes]:
         """Packed ids of split parts: a part stands for a space mark and itself, or for itself if it begins
-        with a line end; the cache is kept under its bound."""
+        with a line end."""
         parts = [[p[0], p[1:]] if p[:1] == "\n" else [SPACE + p] for p in new]
         flat = [s for x in parts for s in x if s]
         made = [self.agenda(s) for s in flat]
         self._check(flat, made)
         ids = iter(made)
-        out = {p: np.array([i for s in x if s for i in next(ids)], self.pack).tobytes() for p, x in zip(new, parts, strict=True)}
-        if len(self.cache) + len(out) > CACHE:
-            self.cache.clear()
-        if len(out) <= CACHE:
-            self.cache.update(out)
-        return out
+        return {p: np.array([i for s in x if s for i in next(ids)], self.pack).tobytes() for p, x in zip(new, parts, strict=True)}
+
+    def _known(self, parts: set[str]) -> dict[str, bytes]:
+        """A table that has all these parts. What a full generation leaves behind is there until the next is full."""
+        missing = parts - self.cache.keys()
+        made = {p: self.old[p] for p in missing if p in self.old}
+        if new := [p for p in missing if p not in made]:
+            made |= self._fill(new)
+        short = {p: x for p, x in made.items() if len(p) <= SHORT}
+        if len(self.cache) + len(short) > CACHE:
+            got = {p: made[p] if p in made else self.cache[p] for p in parts}
+            self.old, self.cache = self.cache, short if len(short) <= CACHE else {}
+            return got
+        self.cache.update(short)
+        return self.cache if len(short) == len(made) else {p: made[p] if p in made else self.cache[p] for p in parts}
 
     def encode_batch(self, texts: list[str | None], whole_check: bool = False) -> list[np.ndarray]:
         """An array of ids for each text. whole_check also compares whole texts with the library."""
         split = [None if not t or "  " in t or SPACE in t or t[0] == " " else t.replace("\n", " \n").split(" ") for t in texts]
-        got, out = self.cache, []
-        need = list({p for x in split if x for p in x if p not in got})
-        fresh: dict[str, bytes] = {}
-        if need:
-            old = dict(got) if len(got) + len(need) > CACHE else got
-            fresh = self._fill(need)
-            got = old
+        out = []
+        got = self._known({p for x in split if x for p in x})
         for text, parts in zip(texts, split, strict=True):
             if parts is not None:
-                joined = b"".join([got[p] if p in got else fresh[p] for p in parts]) if fresh and got is not self.cache else b"".join([got[p] for p in parts])
+                joined = b"".join([got[p] for p in parts])
             else:
                 flat = self.segments((SPACE + text).replace(" ", SPACE)) if text else []
                 made = {s: self.agenda(s) for s in flat}

@@ -5,7 +5,7 @@ document (under one key), different values stay different. Each kind is a set of
 below b, and a Feistel network of ``ROUNDS`` rounds, whose round function is SHA-256 over key, kind, round and
 the other half, permutes that set. The kinds, their checks and their domains:
 
-* card: 13 to 19 digits, whole or in groups of four, that pass the Luhn check; all but the last digit are
+* card: 13 to 19 digits, whole, in groups of four, or of four, six and five, that pass the Luhn check; all but the last digit are
   permuted and the check digit is made anew;
 * ssn: ddd-dd-dddd, area neither 000, 666 nor from 900, group not 00, serial not 0000; stays valid;
 * phone: ten digits with separators, perhaps behind a country prefix; the last ten digits are permuted;
@@ -13,30 +13,45 @@ the other half, permutes that set. The kinds, their checks and their domains:
 * date: a day of the calendar from 1800 to 2199, yyyy-mm-dd or dd/mm/yyyy; the 146 097 days are permuted (189 times 773 pairs);
 * email: letters and digits of the local part keep their class and case and are permuted, the domain stays.
 
-What looks like one of these but fails its check is left as it is. Null texts stay null, empty ones empty; other
-columns pass through. The text is parted at the matches and joined again, so all else keeps every character.
+What looks like one of these but fails its check is left as it is. Null texts stay null, empty ones empty; equal rows become equal rows; an empty table
+stays empty; other columns pass through, whatever their names. The text is parted at the matches and joined again, so all else keeps every character.
+
+The key is the session's ``spark.moderix.pii.key``: who has it can undo the pseudonyms. Where that is unset each driver process makes a random one, so values
+are linked within its runs and not beyond.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "moderix"
+CONF = "spark.moderix.pii.key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])"
 ANY = "|".join((EMAIL, DATE, SSN, IP, CARD, PHONE))
 #: Texts without any of this hold no value of any kind.
 MAYBE = r"@|[0-9]{3}|[0-9]\.[0-9]"
 DAYS, DAY_A, DAY_B, EPOCH = 146_097, 189, 773, "1800-01-01"
 
 
+@cache
+def _own_key() -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(CONF, None) or _own_key()
+
+
 def _num(x: Column) -> Column:
     return x.cast("long")
 
@@ -187,8 +202,9 @@ def pseudonym(key: str, v: Column) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, text_col: str = "text", key: str | None = None, count_col: str | None = None) -> DataFrame:
     """docs with every validated value of the text replaced; count_col: a further column, how many were."""
+    key = key or session_key(docs.sparkSession)
     t = F.col(f"`{text_col}`")
     old, new = (next(n for k in range(len(docs.columns) + 1) if (n := f"_{x}{k}") not in docs.columns) for x in ("old", "new"))
     made = docs.withColumn(old, F.when(t.rlike(MAYBE), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))

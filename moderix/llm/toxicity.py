@@ -5,9 +5,11 @@ x has, for each chosen feature, log2(1 + occurrences); features are words and th
 known by 64-bit hashes. The expected severity is the sum over k of P(grade > k).
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` of each class, by least hash of the id); the
-``FEATURES`` features of greatest z-score in it, of those that are much more common in the positive class, are kept. Scoring covers every row and whole texts.
+``FEATURES`` features of greatest z-score in it, of those that are much more common in the positive class, are kept. They are counted where the rows
+are; the driver gets the chosen ones and their counts in each sampled row, no texts. Scoring covers every row and whole texts.
 
-Null and empty texts score as a text without features. Without rows of both classes every severity is 0.
+Null and empty texts score as a text without features. Without rows of both classes every severity is 0. Every row is scored, repeated ones and those
+without an id too; an empty table gives no rows; only the named columns are read, whatever else there is. A document with both labels counts for both.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moderix.llm import textvec
+from moderix.llm import stages, textvec
 
 #: Most labelled rows of each class that the fit takes.
 SAMPLE = 2000
@@ -31,6 +33,8 @@ LEAST_Z, LEAST_LIFT = 5.0, 8.0
 ROUNDS = 600
 #: The positive class weighs as this share of the rows, whatever the sample holds.
 SHARE = 0.25
+#: Occurrences of chosen words from which a toxic text has the second and the third grade.
+GRADES = (3, 6)
 
 
 def feature_hashes(column: pa.Array) -> Iterator[tuple[textvec.Words, np.ndarray, np.ndarray]]:
@@ -63,44 +67,90 @@ class Model:
         return out
 
 
-def design(column: pa.Array, features: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(column), len(features)), np.float32)
-    for w, doc, h in feature_hashes(column):
-        at = np.minimum(np.searchsorted(features, h), max(0, len(features) - 1))
-        hit = features[at] == h if len(features) else np.zeros(0, bool)
-        np.add.at(x, (doc[hit] + w.docs.start, at[hit]), 1)
+def _class_counts(rows: DataFrame) -> DataFrame:
+    """(feature, a, b): how many of the rows (text, toxic) that are toxic, and how many others, hold a feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False) == 1
+            for w, doc, h in feature_hashes(batch.column(0)):
+                if not len(h):
+                    continue
+                own = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)
+                names, where = np.unique(own[1], return_inverse=True)
+                a = np.bincount(where, weights=toxic[w.docs][own[0].astype(np.int64)], minlength=len(names)).astype(np.int64)
+                b = np.bincount(where, minlength=len(names)) - a
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(a), pa.array(b)], ["feature", "a", "b"])
+
+    each = rows.select("text", "toxic").mapInArrow(run, "feature long, a long, b long")
+    return each.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def chosen(rows: DataFrame, toxic: int, others: int, features: int = FEATURES) -> np.ndarray:
+    """The features whose share of the rows (text, toxic) differs most, by z-score, towards the positive class; at most ``features``
+    numbers reach the driver."""
+    a, b = F.col("a") / toxic, F.col("b") / others
+    pooled = (F.col("a") + F.col("b") + 1) / (toxic + others + 2)
+    z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / others))
+    much = _class_counts(rows).filter(a >= (F.col("b") + 0.5) * (LEAST_LIFT / others)).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
+    best = much.orderBy(F.desc("z"), "feature").limit(features).collect()
+    return np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
+
+
+def _features_of(rows: DataFrame, names: np.ndarray) -> DataFrame:
+    """(id, said, grade, at, times, hits): the chosen features of each row (id, text, grade), how often each occurs, and how many words are
+    chosen; a row is as long as the features, however long its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at: list = [[] for _ in range(b.num_rows)]
+            times: list = [[] for _ in range(b.num_rows)]
+            hits = np.zeros(b.num_rows, np.int64)
+            for w, doc, h in feature_hashes(b.column(2)):
+                place = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                hit = names[place] == h
+                hits += np.bincount(doc[: len(w.hash)][hit[: len(w.hash)]] + w.docs.start, minlength=b.num_rows)
+                key, count = np.unique(doc[hit] * len(names) + place[hit], return_counts=True)
+                for k, c in zip(key.tolist(), count.tolist(), strict=True):
+                    at[k // len(names) + w.docs.start].append(k % len(names))
+                    times[k // len(names) + w.docs.start].append(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64())), pa.array(hits)], ["id", "said", "grade", "at", "times", "hits"])
+
+    kind = rows.select("id").schema[0].dataType.simpleString()
+    cols = rows.select("id", F.xxhash64("text").alias("said"), "text", F.col("grade").cast("long").alias("grade"))
+    return cols.mapInArrow(run, f"id {kind}, said long, grade long, at array<int>, times array<long>, hits long")
+
+
+def design(at: list[list[int]], times: list[list[int]], features: int) -> np.ndarray:
+    x = np.zeros((len(at), features), np.float32)
+    for i, (a, t) in enumerate(zip(at, times, strict=True)):
+        x[i, a] = t
     return np.log2(1 + x)
 
 
-def chosen(column: pa.Array, toxic: np.ndarray, features: int = FEATURES) -> np.ndarray:
-    """The features whose share of documents differs most, by z-score, towards the positive class."""
-    docs, hashes = [], []
-    for w, doc, h in feature_hashes(column):
-        got = np.unique(np.stack([(doc + w.docs.start).astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-        docs.append(got[0].astype(np.int64))
-        hashes.append(got[1])
-    if not hashes:
-        return np.zeros(0, np.uint64)
-    doc, h = np.concatenate(docs), np.concatenate(hashes)
-    names, where = np.unique(h, return_inverse=True)
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    a = np.bincount(where, weights=toxic[doc], minlength=len(names))
-    b = np.bincount(where, minlength=len(names)) - a
-    pooled = (a + b + 1) / (n1 + n0 + 2)
-    z = (a / n1 - b / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    z[a / n1 < LEAST_LIFT * (b + 0.5) / n0] = 0
-    best = np.argsort(-z, kind="stable")[:features]
-    return np.sort(names[best[z[best] >= LEAST_Z]])
-
-
-def fit(column: pa.Array, grade: np.ndarray, features: int = FEATURES, penalty: float = 1e-4) -> Model:
+NOTHING = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+
+
+def fitted(rows: DataFrame, steps: tuple[int, ...] = ()) -> Model:
+    """A model from rows (id, text, grade), few enough for the driver to hold ``FEATURES`` numbers of each. With steps the grades
+    are yes or no, and a positive one rises by one for each step that the number of occurrences of chosen words reaches."""
+    rows = rows.withColumn("toxic", (F.col("grade") > 0).cast("int"))
+    count = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not count.get(0) or not count.get(1):
+        return NOTHING
+    names = chosen(rows, count[1], count[0])
+    if not len(names):
+        names = np.zeros(1, np.uint64)  # a feature that no text has: only the thresholds are fitted
+    got = _features_of(rows, names).toArrow().sort_by([("id", "ascending"), ("said", "ascending"), ("grade", "ascending")])
+    grade, hits = got.column("grade").to_numpy(), got.column("hits").to_numpy()
+    grade = np.where(grade > 0, grade + sum((hits >= s).astype(np.int64) for s in steps), 0)
+    return fit(names, design(got.column("at").to_pylist(), got.column("times").to_pylist(), len(names)), grade)
+
+
+def fit(names: np.ndarray, x: np.ndarray, grade: np.ndarray, penalty: float = 1e-4) -> Model:
     """Maximum likelihood with an L2 penalty, by Adam on w, the first threshold and the log steps to the next."""
-    grades = int(grade.max()) if len(grade) else 0
-    if grades == 0 or (grade > 0).all():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    names = chosen(column, grade > 0, features)
-    x = design(column, names)
-    above = (grade[:, None] > np.arange(grades)).astype(np.float64)
+    grade = np.unique(grade, return_inverse=True)[1]  # grades that no row has give no threshold
+    grades = int(grade.max())
     each = np.where(grade > 0, SHARE / (grade > 0).sum(), (1 - SHARE) / (grade == 0).sum())
     p = np.concatenate([np.zeros(len(names)), [0.5], np.zeros(grades - 1)])
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -125,29 +175,17 @@ def fit(column: pa.Array, grade: np.ndarray, features: int = FEATURES, penalty:
     return Model(names, p[: len(names)].copy(), theta)
 
 
-def graded(column: pa.Array, toxic: np.ndarray, steps: tuple[int, ...] = (3, 6)) -> np.ndarray:
-    """Grades from yes-or-no labels: 0 for no, else 1 and one more for each step that the number of occurrences
-    of strongly associated features (those that ``chosen`` keeps, words only) reaches."""
-    if not toxic.any() or toxic.all():
-        return toxic.astype(np.int64)
-    names = chosen(column, toxic)
-    hits = np.zeros(len(column), np.int64)
-    for w in textvec.pieces(column, textvec.LETTERS, latin=True):
-        if len(names) and len(w.hash):
-            at = np.minimum(np.searchsorted(names, w.hash), len(names) - 1)
-            np.add.at(hits, w.doc[names[at] == w.hash] + w.docs.start, 1)
-    return np.where(toxic, 1 + sum((hits >= s).astype(np.int64) for s in steps), 0)
-
-
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic); at most ``sample`` labelled rows of each class."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").distinct()
     taken = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     ids = spark.createDataFrame([tuple(r) for t in taken for r in t.collect()], known.schema)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id").select("id", "text", "toxic").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    text, toxic = rows.column("text").combine_chunks(), rows.column("toxic").to_numpy() == 1
-    return fit(text, graded(text, toxic))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "text", F.col("toxic").alias("grade"))
+    rows = stages.written(rows, "labelled")
+    model = fitted(rows, GRADES)
+    stages.dropped(rows)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,10 +203,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def screened(docs: DataFrame, model: Model, reject: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose P(grade > 0) is below ``reject``."""
 
-    @F.pandas_udf("double")
-    def p_toxic(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(model.severity(pa.array(text, pa.large_string(), from_pandas=True))[1], index=text.index)
+    @F.arrow_udf("double")
+    def p_toxic(text: pa.Array) -> pa.Array:
+        return pa.array(model.severity(text)[1])
 
-    return docs.filter(p_toxic(F.col(f"`{text_col}`")) < reject)
+    return docs.filter(p_toxic(F.col(f"`{text_col}`").cast("string")) < reject)
