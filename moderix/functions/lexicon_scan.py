@@ -14,14 +14,27 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from moderix.functions.target import _endings, lower
+from moderix.functions import target
 
 #: Content code of each route and the evidence strengths.
 ROUTES = {"A": "A1", "B1": "B1", "B2": "B2", "B3": "B3"}
 HIT, MASKED, GUARD = 0.9, 0.6, 0.9
 
 
+def lower(text: str) -> str:
+    """Turkish lower case."""
+    return text.translate({ord("I"): "ı", ord("İ"): "i"}).lower()
+
+
+_ENDINGS = re.compile(f"(?:{'|'.join(target.ENDS)})*")
+
+
+def _endings(tail: str) -> bool:
+    return _ENDINGS.fullmatch(tail) is not None
+
+
 @dataclass(frozen=True)
 class Lexicon:
     variants: dict[str, tuple[str, str]]  # variant to (root, route)
@@ -90,15 +103,15 @@ _GUARDS = pa.list_(pa.struct([("code", pa.string()), ("score", pa.float64()), ("
 
 
 def analysed(rows: DataFrame, lex: Lexicon, key: str = "id", words: frozenset[str] | None = None, groups: frozenset[str] = frozenset(), things: frozenset[str] = frozenset()) -> DataFrame:
-    """All modules on (key, text): content, guards, target, form and what failed. Modules run in order on one pass over the
-    row; one that fails leaves its part empty and is named in ``failed``, and the row goes on."""
-    from moderix.functions import charsafe, deobfuscate, target
+    """All modules on (key, text): content, guards, target, form and what failed. Targets and personal data come from Spark itself; the other
+    modules run in order on one pass over the row; one that fails leaves its part empty and is named in ``failed``, and the row goes on."""
+    from moderix.functions import charsafe, deobfuscate
     from moderix.operators.decision import GUARD as GUARD_T
     from moderix.operators.decision import SCORE
 
     kind = rows.select(key).schema[0].dataType.simpleString()
 
-    def one(text: str | None) -> tuple:
+    def one(text: str | None, who: dict | None, dox: list[dict]) -> tuple:
         text, failed = text or "", []
 
         def tried(name: str, f, otherwise):  # noqa: ANN001, ANN202
@@ -111,12 +124,10 @@ def analysed(rows: DataFrame, lex: Lexicon, key: str = "id", words: frozenset[st
         same = list(range(len(text)))
         c = tried("m0_charsafe", lambda: charsafe.cleaned(text), charsafe.Clean(list(text), same, same))
         n, offsets, repairs = tried("m2_deobf", lambda: deobfuscate.repaired(c.text, text, c.start, words), (c.text, c.start, []))
-        who = tried("m6_target", lambda: target.targets(text, groups, things), [])
-        dox = tried("m6_target", lambda: target.identifiers(text), [])
         channels = {"raw": (c.text, c.start)} | ({"normalized": (n, offsets)} if n != c.text else {})
-        content, guards = tried("m1_lexicon", lambda: judged(channels, lex, bool(who) and who[0]["type"] == "non_human"), ([], []))
+        content, guards = tried("m1_lexicon", lambda: judged(channels, lex, who is not None and who["type"] == "non_human"), ([], []))
         content = content + [{"code": "B4", "score": d["confidence"], "source": "m6_target@raw", "span": {"start": d["start"], "end": d["end"]}, "threshold": None, "fired": None} for d in dox]
-        first = who[0] if who else {"type": None, "confidence": None}
+        first = who or {"type": None, "confidence": None}
         return content, guards, first["type"], first["confidence"], [*c.patterns, *repairs], list(dict.fromkeys(failed))
 
     types = (_CONTENT, _GUARDS, pa.string(), pa.float64(), charsafe._ARROW, pa.list_(pa.string()))
@@ -124,7 +135,9 @@ def analysed(rows: DataFrame, lex: Lexicon, key: str = "id", words: frozenset[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [one(x) for x in b.column(1).to_pylist()]
+            got = [one(*x) for x in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], t) for i, t in enumerate(types))], names)
 
-    return rows.select(key, "text").mapInArrow(run, f"`{key}` {kind}, content array<{SCORE}>, guards array<{GUARD_T}>, target_type string, target_confidence double, form {charsafe.PATTERN}, failed array<string>")
+    t = F.col("text").cast("string")
+    seen = rows.select(key, t.alias("text"), F.get(target.targets(t, groups, things, 1), 0).alias("who"), target.identifiers(t).alias("dox"))
+    return seen.mapInArrow(run, f"`{key}` {kind}, content array<{SCORE}>, guards array<{GUARD_T}>, target_type string, target_confidence double, form {charsafe.PATTERN}, failed array<string>")

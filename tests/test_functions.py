@@ -46,17 +46,52 @@ def test_second_tier_needs_one_reading() -> None:
     assert deobfuscate.repaired("s**k", "s**k", [0, 1, 2, 3], words)[2][0]["code"] == "SUFFIX_ON_MASKED"
 
 
-def test_targets_and_identifiers() -> None:
-    assert target.targets("sen @ali")[0]["how"] == "mention"
-    assert [t["type"] for t in target.targets("türkler geldi", frozenset({"türk"}))] == ["group"]
-    assert target.targets("türkiye", frozenset({"türk"})) == []
-    kinds = lambda s: [x["kind"] for x in target.identifiers(s)]
-    assert kinds("10000000146") == ["national_id"]
-    assert kinds("10000000147") == []
-    assert kinds("0532 123 45 67 ve a@b.com") == ["mobile", "email"]
-    assert kinds("TR330006100519786457841326") == ["iban"]
-    assert kinds("sen Atatürk Mah. Gül Sok. No: 12") == ["address"]
-    assert kinds("okul Atatürk Mah. Gül Sok. No: 12 sen") == []
+def test_targets_and_identifiers(spark) -> None:
+    told = {
+        "sen @ali": ["individual mention", "individual second person"], "türkler geldi": ["group türk"], "türkiye": [], "türk": ["group türk"], "belediyedekiler": [], "belediyeye kızdım": ["non_human belediye"],
+        "problemin": [], "sistemin": [], "yönetimin": [], "akşamın": [], "gidiyorsun": ["individual verb ending"], "kitapsın": ["individual verb ending"], "misin": [], "hastamısın": ["individual verb ending"],
+        "OĞLUM'un": ["individual call"], "sene senaryo": [], "a@b": [], "": [], None: [],
+    }
+    kinds = {
+        "10000000146": ["national_id"], "10000000147": [], "0532 123 45 67 ve a@b.com": ["mobile", "email"], "TR330006100519786457841326": ["iban"], "sen Atatürk Mah. Gül Sok. No: 12": ["address"],
+        "okul Atatürk Mah. Gül Sok. No: 12 sen": [], "Atatürk Mah. Gül Sok. No: 12": [], "+90 212 345 67 89": ["landline"], "34 ABC 123": ["plate"], "https://x.com/ali": ["profile"], "": [], None: [],
+    }
+    texts = list(dict.fromkeys([*told, *kinds]))
+    rows = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "id long, text string, targets string, i int")
+    got = {texts[r.id]: r for r in target.resolved(rows, "id", groups=frozenset({"türk"}), things=frozenset({"belediye"})).collect()}
+    assert {t: [f"{x.type} {x.how}" for x in got[t].targets] for t in told} == told
+    assert {t: [x.kind for x in got[t].identifiers] for t in kinds} == kinds
+    spans = got["sen Atatürk Mah. Gül Sok. No: 12"]
+    assert [(x.start, x.end) for x in spans.identifiers] == [(12, 32)] and [(x.start, x.end) for x in spans.targets] == [(0, 3)]
+    assert [(x.start, x.end) for x in got["sen @ali"].targets] == [(4, 8), (0, 3)] and [(x.start, x.end) for x in got["OĞLUM'un"].targets] == [(0, 5)]
+    assert target.resolved(rows.limit(0), "id").count() == 0
+
+
+def test_plain_texts_are_cleaned_by_spark_as_by_python(spark) -> None:
+    texts = ["Plain ASCII, no capital eye.", "I see", "", None, "tab\tand\nline", "sаl", "a\u200bb", "x" * 50_000, "^`~", "del\x7f"]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, plain int")
+    for r in charsafe.charsafe(rows, "id").collect():
+        if texts[r.id] is None:
+            assert (r.charsafe_text, r.offsets, r.patterns, r.ok) == (None, None, None, True)
+            continue
+        c = charsafe.cleaned(texts[r.id])
+        assert (r.charsafe_text, r.offsets, [p.asDict() for p in r.patterns], r.ok) == (c.text, c.start, c.patterns, True)
+    both = rows.select("id", "text").join(charsafe.charsafe(rows, "id").select("id", "charsafe_text", "offsets"), "id")
+    for r in deobfuscate.deobfuscated(both, "id").collect():
+        if texts[r.id] is not None:
+            c = charsafe.cleaned(texts[r.id])
+            assert (r.normalized_text, r.offsets, [p.asDict() for p in r.patterns]) == deobfuscate.repaired(c.text, texts[r.id], c.start)
+
+
+@pytest.mark.parametrize(("raw", "clean", "found"), [
+    ("a\u0301b", "áb", ["ZERO_WIDTH"]), ("x\u0334y", "xy", ["ZERO_WIDTH"]), ("й", "й", []), ("I\u0307", "i", ["DOTLESS_I"]), ("İ", "i", ["DOTLESS_I"]), ("ɪ", "ı", ["HOMOGLYPH", "DOTLESS_I"]),
+    ("❤️", "❤️", []), ("👨\u200d👩", "👨\u200d👩", []), ("\u200d", "", ["ZERO_WIDTH"]), ("ＡＢ", "ab", ["HOMOGLYPH"]), ("x²", "x²", []), ("𝐬𝐚𝐥", "sal", ["HOMOGLYPH"]), ("ⓢⓐ", "sa", ["HOMOGLYPH"]), ("🅱", "b", ["HOMOGLYPH"]),
+    ("🇹🇷", "🇹🇷", []), ("🇹🇷🇦", "tra", ["HOMOGLYPH"]), ("аоро", "aopo", ["HOMOGLYPH"]), ("мир аоро", "мир aopo", ["HOMOGLYPH"]), ("IŞIK", "ışık", ["DOTLESS_I"]), ("a\x00b", "ab", ["ZERO_WIDTH"]),
+])
+def test_characters(raw: str, clean: str, found: list) -> None:
+    c = charsafe.cleaned(raw)
+    assert (c.text, [p["code"] for p in c.patterns]) == (clean, found)
+    assert len(c.chars) == len(c.start) == len(c.end) and all(0 <= a < z <= len(raw) for a, z in zip(c.start, c.end, strict=True)) and c.start == sorted(c.start)
 
 
 def test_lexicon_scan() -> None:
