@@ -1,7 +1,8 @@
 """Evaluation operators over scored rows (row_id, gold, p, ..., slice).
 
 Curves are built from one row per distinct score: a score's group is aggregated first, and running sums over these
-rows give ranks, areas and costs, so no operator sorts the raw rows in one task. Where a statistic has a fixed tie or
+rows give ranks, areas and costs. Running sums are made in two levels (``running``): sums of ``RANGES`` equal ranges of the score, which are
+few, and sums within a range, so no task holds all rows or all distinct scores. Where a statistic has a fixed tie or
 rounding rule it is stated beside it.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,12 +43,31 @@ def score_groups(rows: DataFrame, score: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, score).agg(F.count_if(F.col("gold") == 1).alias("pos"), F.count_if(F.col("gold") == 0).alias("neg"))
 
 
+RANGES = 4096
+
+
+def running(groups: DataFrame, by: str, sums: dict[str, str], keys: list[str], descending: bool = False) -> DataFrame:
+    """groups with a column for each of ``sums`` (new name: summed column): its sum over all groups of the same keys that come before in
+    order of ``by``, the own one left out. Groups of equal ``by`` have no order among themselves, so there should be one for each."""
+    bounds = groups.agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
+    at = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(by) - F.col("_low")) / (F.col("_high") - F.col("_low")) * (RANGES - 1))).otherwise(0)
+    placed = groups.crossJoin(F.broadcast(bounds)).withColumn("_range", at.cast("long")).drop("_low", "_high")
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    past = (W.unboundedPreceding, -1)
+    of_ranges = placed.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    over_ranges = W.partitionBy(*keys).orderBy(order("_range")).rowsBetween(*past)
+    of_ranges = of_ranges.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_{n}").over(over_ranges), F.lit(0)).alias(f"_{n}") for n in sums))
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    within = W.partitionBy(*keys, "_range").orderBy(order(by)).rowsBetween(*past)
+    return placed.join(of_ranges, same).select(*groups.columns, *((F.col(f"_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(n) for n, c in sums.items()))
+
+
 def auc(rows: DataFrame, score: str = "p", keys: tuple[str, ...] = (), tie_credit: float = 0.5) -> DataFrame:
     """Mann-Whitney area; a tie between a positive and a negative earns ``tie_credit``."""
     ks = list(keys)
-    g = score_groups(rows, score, ks)
-    w = W.partitionBy(*ks).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    g = running(score_groups(rows, score, ks), score, {"below": "neg"}, ks)
     won = F.sum(F.col("pos") * (F.col("below") + tie_credit * F.col("neg")))
     return g.groupBy(*ks).agg(ratio(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
@@ -55,9 +75,8 @@ def auc(rows: DataFrame, score: str = "p", keys: tuple[str, ...] = (), tie_credi
 def average_precision(rows: DataFrame, score: str = "p", keys: tuple[str, ...] = ()) -> DataFrame:
     """Steps at distinct scores, from the highest: recall gained times precision so far."""
     ks = list(keys)
-    g = score_groups(rows, score, ks)
-    w = W.partitionBy(*ks).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    g = g.withColumn("tp", F.sum("pos").over(w)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(w))
+    g = score_groups(rows, score, ks).withColumn("own", F.col("pos") + F.col("neg"))
+    g = running(g, score, {"tp": "pos", "n": "own"}, ks, True).withColumn("tp", F.col("tp") + F.col("pos")).withColumn("n", F.col("n") + F.col("own"))
     return g.groupBy(*ks).agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos")).alias("ap"))
 
 
@@ -70,10 +89,9 @@ def threshold_curve(rows: DataFrame, score: str = "p", cost_ratio: float = 3.0,
     g = score_groups(rows, score, ks)
     low = g.groupBy(*ks).agg((F.min(score) - 1e-6).alias(score)).withColumn("pos", F.lit(0)).withColumn("neg", F.lit(0))
     g = g.unionByName(low.select(g.columns))
-    up = W.partitionBy(*ks).orderBy(score).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*ks)
-    g = g.withColumn("fn", F.sum("pos").over(up)).withColumn("tn", F.sum("neg").over(up))
-    g = g.withColumn("tp", F.sum("pos").over(whole) - F.col("fn")).withColumn("fp", F.sum("neg").over(whole) - F.col("tn"))
+    g = running(g, score, {"fn": "pos", "tn": "neg"}, ks).withColumn("fn", F.col("fn") + F.col("pos")).withColumn("tn", F.col("tn") + F.col("neg"))
+    whole = g.groupBy(*ks).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    g = (g.join(whole, ks) if ks else g.crossJoin(F.broadcast(whole))).withColumn("tp", F.col("_pos") - F.col("fn")).withColumn("fp", F.col("_neg") - F.col("tn"))
     cost = (F.col("fn") * cost_ratio + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
     return g.select(*ks, F.col(score).alias("t"), "tn", "fp", "fn", "tp", (F.col("tp") + F.col("fp")).alias("flags"), cost.alias("cost"))
 
@@ -94,13 +112,24 @@ def fit_pair(curve_a: DataFrame, curve_b: DataFrame, cap: int) -> DataFrame:
     b = curve_b.groupBy("flags").agg(F.min_by(F.struct((F.col("fn") * 3.0 + F.col("fp")).alias("c"), F.col("t").alias("t")), F.struct((F.col("fn") * 3.0 + F.col("fp")), F.col("t"))).alias("b"))
     events = a.select((cap - F.col("flags_a")).alias("flags"), F.lit(1).alias("ask"), F.lit(None).cast(b.schema["b"].dataType).alias("b"), F.struct("t_a", "flags_a", "c_a").alias("a"))
     both = events.unionByName(b.select("flags", F.lit(0).alias("ask"), "b", F.lit(None).cast(events.schema["a"].dataType).alias("a")))
-    both = both.withColumn("held", F.struct("flags", "b")).withColumn("held", F.last(F.when(F.col("ask") == 0, F.col("held")), True).over(W.orderBy("flags", "ask").rowsBetween(W.unboundedPreceding, 0)))
+    both = _last_offer(both.withColumn("held", F.when(F.col("ask") == 0, F.struct("flags", "b"))), cap)
     rows = both.filter("ask = 1 and held is not null").select("a.*", F.col("held.flags").alias("flags_b"), F.col("held.b.c").alias("c_b"), F.col("held.b.t").alias("t_b"))
     flags, cost = F.col("flags_a") + F.col("flags_b"), F.col("c_a") + F.col("c_b")
     best = F.min_by(F.struct("t_a", "t_b", flags.alias("flags"), cost.alias("cost")), F.struct(-flags, cost, "t_a", "t_b"))
     return rows.agg(best.alias("x")).select("x.*")
 
 
+def _last_offer(both: DataFrame, cap: int) -> DataFrame:
+    """The last ``held`` at or before each row in order of flags (offers first), by ranges of flags: what a range begins with is the last of those
+    before it."""
+    at = F.floor(F.col("flags") * RANGES / (cap + 1)).cast("long")
+    both = both.withColumn("_range", at)
+    ends = both.groupBy("_range").agg(F.max(F.when(F.col("ask") == 0, F.col("flags"))).alias("_flags"), F.max_by("held", F.when(F.col("ask") == 0, F.col("flags"))).alias("_end"))
+    begins = ends.select("_range", F.last("_end", True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_begin"))
+    own = F.last("held", True).over(W.partitionBy("_range").orderBy("flags", "ask").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("_own", own).join(begins, "_range").withColumn("held", F.coalesce("_own", "_begin")).drop("_range", "_own", "_begin")
+
+
 def reliability(rows: DataFrame, p: Column, right: Column, low: float, high: float, n: int) -> DataFrame:
     """Equal bins of [low, high], the last closed; empty bins stay with nulls."""
     width = (high - low) / n
@@ -158,8 +187,7 @@ def risk_coverage(rows: DataFrame, confidence: Column, right: Column, coverages:
     spark = rows.sparkSession
     base = rows.select("row_id", confidence.alias("c"), right.cast("long").alias("ok"))
     levels = base.groupBy("c").agg(F.count("*").alias("k"), F.sum("ok").alias("ok"))
-    up = W.orderBy(F.desc("c")).rowsBetween(W.unboundedPreceding, -1)
-    levels = levels.withColumn("before", F.coalesce(F.sum("k").over(up), F.lit(0))).withColumn("ok_before", F.coalesce(F.sum("ok").over(up), F.lit(0)))
+    levels = running(levels, "c", {"before": "k", "ok_before": "ok"}, [], True)
     cover = spark.createDataFrame([(float(x),) for x in coverages], "coverage double")
     cuts = cover.crossJoin(base.agg(F.count("*").alias("n"))).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("n"))).cast("long"))
     at = cuts.withColumnRenamed("k", "take").join(levels.withColumnRenamed("k", "size"), (F.col("before") < F.col("take")) & (F.col("take") <= F.col("before") + F.col("size")))
@@ -216,7 +244,8 @@ def token_table(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     Counts are aggregated by token; the totals are one row, joined as such.
     """
     n = rows.agg(F.count("*").alias("n"), F.sum("gold").alias("n1"))
-    each = rows.select("row_id", "gold", F.explode(tokens).alias("token")).groupBy("row_id", "gold", "token").agg(F.count("*").alias("k"))
+    seen = F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("token"), F.size(F.filter(tokens, lambda x: x == w)).alias("k")))
+    each = rows.select("gold", F.explode(seen).alias("x")).select("gold", "x.token", "x.k")
     t = each.groupBy("token").agg(F.count("*").alias("df"), F.sum("gold").alias("df1"), F.sum("k").alias("occurrences")).crossJoin(F.broadcast(n))
     base, df = F.col("n1") / F.col("n"), F.col("df")
     sd = F.sqrt(df * base * (1 - base))
@@ -266,8 +295,7 @@ def fingerprint(ids: DataFrame, key: str = "row_id") -> DataFrame:
 
 def quantile_edges(rows: DataFrame, x: str, shares: list[float]) -> DataFrame:
     """Nearest-rank edges, index min(n - 1, floor(share * n)), from counts per distinct value."""
-    g = rows.groupBy(x).agg(F.count("*").alias("k"))
-    g = g.withColumn("upto", F.sum("k").over(W.orderBy(x).rowsBetween(W.unboundedPreceding, 0)))
+    g = running(rows.groupBy(x).agg(F.count("*").alias("k")), x, {"before": "k"}, []).withColumn("upto", F.col("before") + F.col("k"))
     n = rows.agg(F.count("*").alias("n"))
     want = rows.sparkSession.createDataFrame([(float(s),) for s in shares], "share double").crossJoin(n).withColumn("i", F.least(F.col("n") - 1, F.floor(F.col("share") * F.col("n"))))
     return F.broadcast(want).join(g, F.col("upto") > F.col("i")).groupBy("share").agg(F.min(x).alias("edge"))
@@ -275,34 +303,85 @@ def quantile_edges(rows: DataFrame, x: str, shares: list[float]) -> DataFrame:
 
 # -- resampling ---------------------------------------------------------------------------------------------------
 
-def resampled(counts: DataFrame, names: list[str], statistic: Callable, replicates: int, seed: int, strata: list[list[str]] | None = None, tasks: int = 8) -> DataFrame:
-    """(replicate, value) of a statistic of resampled counts.
+#: Most joint outcomes that a resampling holds; more is refused.
+OUTCOMES = 1_000_000
+
+
+def outcomes(rows: DataFrame, keys: dict[str, Column], where: Column | None = None) -> list[tuple]:
+    """(key values..., count) of each joint outcome of some rows, in order; as many as there are distinct outcomes, such as scores."""
+    g = (rows if where is None else rows.filter(where)).groupBy(*(c.alias(n) for n, c in keys.items())).agg(F.count("*").alias("_k"))
+    got = g.limit(OUTCOMES + 1).collect()
+    if len(got) > OUTCOMES:
+        raise ValueError(f"more than {OUTCOMES} distinct outcomes: round the scores first")
+    return sorted((tuple(r) for r in got), key=lambda r: tuple((x is None, x) for x in r))
+
 
-    ``counts`` is one row with the counts of the joint outcomes ``names``: resampling rows with replacement is a multinomial draw of
-    these, exact in distribution, so a replicate costs a few draws and not a pass over the rows. Outcomes of one of ``strata`` are
-    resampled among themselves. statistic(dict) gives a float or None; replicates run on executors, each from its own seed.
+def replicated(spark: SparkSession, strata: list[list[tuple]], statistic: Callable, names: list[str], replicates: int, seed: int, tasks: int = 8) -> DataFrame:
+    """(replicate, names...): statistics of resampled outcomes, several from each resample.
+
+    Resampling rows with replacement is a multinomial draw of the counts of their joint outcomes, exact in distribution, so a replicate costs a draw for each distinct
+    outcome and not a pass over the rows. Each list of (key values..., count) is resampled on its own. statistic gets the strata as [(key values, drawn)] and
+    gives a float or None for each name; replicates run on executors, each from its own seed.
     """
     import numpy as np
 
-    row = counts.select(*names).first()
-    held = {n: int(row[n]) for n in names}
-    groups = strata or [names]
+    totals = [sum(r[-1] for r in s) for s in strata]
 
-    def run(frames: Iterator) -> Iterator:  # noqa: ANN401
+    def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for f in frames:
             out = []
             for r in f["id"]:
                 rng = np.random.default_rng([seed, int(r)])
-                drawn: dict[str, int] = {}
-                for g in groups:
-                    n = sum(held[x] for x in g)
-                    drawn.update(zip(g, rng.multinomial(n, [held[x] / n for x in g]).tolist() if n else [0] * len(g), strict=True))
-                out.append(statistic(drawn))
-            yield pd.DataFrame({"replicate": f["id"], "value": pd.Series(out, dtype="float64")})
+                drawn = [list(zip((x[:-1] for x in s), rng.multinomial(n, [x[-1] / n for x in s]).tolist() if n else [], strict=bool(n))) for s, n in zip(strata, totals, strict=True)]
+                out.append([int(r), *statistic(drawn)])
+            made = pd.DataFrame(out, columns=["replicate", *names])
+            yield made.astype({"replicate": "int64"} | dict.fromkeys(names, "float64"))
+
+    return spark.range(0, replicates, 1, tasks).mapInPandas(run, ", ".join(["replicate long", *(f"`{n}` double" for n in names)]))
 
-    return counts.sparkSession.range(0, replicates, 1, tasks).mapInPandas(run, "replicate long, value double")
+
+def resampled(counts: DataFrame, names: list[str], statistic: Callable, replicates: int, seed: int, strata: list[list[str]] | None = None, tasks: int = 8) -> DataFrame:
+    """(replicate, value) of a statistic of resampled counts: ``counts`` is one row with the counts of the joint outcomes ``names``; outcomes of one of
+    ``strata`` are resampled among themselves. statistic(dict) gives a float or None."""
+    row = counts.select(*names).first()
+    held = [[(n, int(row[n])) for n in g] for g in strata or [names]]
+    return replicated(counts.sparkSession, held, lambda drawn: [statistic({k[0]: c for s in drawn for k, c in s})], ["value"], replicates, seed, tasks)
+
+
+def intervals(values: DataFrame, level: float = 0.95) -> DataFrame:
+    """(name, low, high, q1, q3, used, undefined) of every statistic of some replicates."""
+    names = [c for c in values.columns if c != "replicate"]
+    a = (1 - level) / 2
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names)))
+    long = values.select(each.alias("x")).select("x.*")
+    q = F.percentile("value", F.array(*(F.lit(x) for x in (a, 0.25, 0.75, 1 - a))))
+    got = long.groupBy("name").agg(q.alias("q"), F.count("value").alias("used"), F.count_if(F.col("value").isNull()).alias("undefined"))
+    return got.select("name", *(F.get("q", i).alias(n) for i, n in ((0, "low"), (3, "high"), (1, "q1"), (2, "q3"))), "used", "undefined")
+
+
+def area(pos: dict[float, int], neg: dict[float, int]) -> float | None:
+    """Mann-Whitney area of drawn counts by score."""
+    below = won = 0
+    for x in sorted(pos.keys() | neg.keys()):
+        won += pos.get(x, 0) * (2 * below + neg.get(x, 0))
+        below += neg.get(x, 0)
+    n = sum(pos.values()) * below
+    return won / (2 * n) if n else None
+
+
+def least_cost(pos: dict[float, int], neg: dict[float, int], cost_ratio: float = 3.0) -> float | None:
+    """The threshold (flag above it) of least cost over drawn counts by score; among equals the lowest; one candidate lies below all."""
+    scores = sorted(x for x in pos.keys() | neg.keys() if pos.get(x, 0) + neg.get(x, 0))
+    if not scores:
+        return None
+    missed, alarms = 0, sum(neg.values())
+    best = (float(alarms), scores[0] - 1e-6)
+    for x in scores:
+        missed, alarms = missed + pos.get(x, 0), alarms - neg.get(x, 0)
+        best = min(best, (cost_ratio * missed + alarms, x))
+    return best[1]
 
 
 def interval(values: DataFrame, level: float = 0.95) -> DataFrame:
@@ -319,13 +398,3 @@ def verdict(point: Column, low: Column, high: Column, n: Column, least_n: int) -
 def f1_of(c: dict) -> float | None:
     d = 2 * c["tp"] + c["fp"] + c["fn"]
     return 2 * c["tp"] / d if d else None
-
-
-def auc_of(drawn: dict) -> float | None:
-    """Area from counts named by class and place of the score."""
-    below = won = n1 = n0 = 0.0
-    for i in sorted({int(k[1:]) for k in drawn}):
-        pos, neg = drawn.get(f"p{i}", 0), drawn.get(f"n{i}", 0)
-        won += pos * (below + 0.5 * neg)
-        below, n1, n0 = below + neg, n1 + pos, n0 + neg
-    return won / (n1 * n0) if n1 and n0 else None

@@ -381,14 +381,118 @@ def bootstrap_cost(t: Tables) -> DataFrame:
     return rounded(ev.interval(ev.resampled(_cells(t), ["tn", "fp", "fn", "tp"], cost, 1000, 42, [["tn", "fp"], ["fn", "tp"]])))
 
 
+def _classes(rows: DataFrame, keys: dict[str, Column]) -> list[list[tuple]]:
+    """Joint outcomes of each class, which is resampled on its own."""
+    return [ev.outcomes(rows, keys, GOLD() == g) for g in (0, 1)]
+
+
+def _by(drawn: list, place: int) -> tuple[dict, dict]:
+    """(positive, negative) counts by one of the keys."""
+    out: list[dict] = []
+    for s in drawn:
+        of: dict = {}
+        for key, n in s:
+            of[key[place]] = of.get(key[place], 0) + n
+        out.append(of)
+    return out[1], out[0]
+
+
 @query("bootstrap_auc")
 def bootstrap_auc(t: Tables) -> DataFrame:
-    """Each class resampled on its own, on scores of a grid of hundredths, so a replicate costs as much as the grid."""
-    at = F.round(P() * 100).cast("int")
-    row = t.scored.agg(*(F.count_if((at == i) & (GOLD() == g)).alias(f"{'np'[g]}{i}") for i in range(101) for g in (0, 1)))
-    names = row.columns
-    got = ev.resampled(row, names, ev.auc_of, 1000, 42, [[n for n in names if n[0] == c] for c in "pn"])
-    return rounded(ev.interval(got))
+    """Areas of both systems, their difference, and that of the one chosen in the replicate, by distinct scores; 10 000 replicates."""
+
+    def areas(drawn: list) -> list:
+        a, b = (ev.area(*_by(drawn, i)) for i in (0, 1))
+        return [a, b, b - a, max(a, b)] if a is not None else [None] * 4
+
+    strata = _classes(t.scored, {"p": P(), "p2": F.col("p2")})
+    return rounded(ev.intervals(ev.replicated(t.spark, strata, areas, ["base", "next", "delta", "chosen"], 10_000, 42, 16)))
+
+
+@query("bootstrap_threshold_stability")
+def bootstrap_threshold(t: Tables) -> DataFrame:
+    """The threshold of least cost fitted anew in each replicate; q1 and q3 tell how stable it is."""
+    strata = _classes(t.scored, {"p": P()})
+    return rounded(ev.intervals(ev.replicated(t.spark, strata, lambda drawn: [ev.least_cost(*_by(drawn, 0))], ["threshold"], 2000, 43)))
+
+
+@query("bootstrap_matched")
+def bootstrap_matched(t: Tables) -> DataFrame:
+    """Recall of the second system less that of the first where both flag as many rows (or the next more) as the first does at its fixed threshold."""
+
+    def recall_at(pos: dict, neg: dict, flags: int) -> float:
+        hit = seen = 0
+        for x in sorted(pos.keys() | neg.keys(), reverse=True):
+            if seen >= flags:
+                break
+            hit, seen = hit + pos.get(x, 0), seen + pos.get(x, 0) + neg.get(x, 0)
+        return hit / max(1, sum(pos.values()))
+
+    def delta(drawn: list) -> list:
+        (pos, neg), second = _by(drawn, 0), _by(drawn, 1)
+        flags = sum(n for of in (pos, neg) for x, n in of.items() if x >= T)
+        return [recall_at(*second, flags) - recall_at(pos, neg, flags), float(flags)]
+
+    return rounded(ev.intervals(ev.replicated(t.spark, _classes(t.scored, {"p": P(), "p2": F.col("p2")}), delta, ["recall_delta", "flags"], 2000, 44)))
+
+
+@query("bootstrap_operating_point")
+def bootstrap_operating_point(t: Tables) -> DataFrame:
+    """Deferral, capture of errors and risk of the automatic part at a fixed confidence, by slice, the slices resampled apart."""
+    sure = F.greatest(P(), 1 - P()) >= 0.6
+    wrong = (P() >= 0.5).cast("int") != GOLD()
+    slices = ("free", "hit")
+    strata = [ev.outcomes(t.scored, {"sure": sure, "wrong": wrong}, F.col("slice") == s) for s in slices]
+
+    def point(drawn: list) -> list:
+        out = []
+        for s in drawn:
+            of = dict(s)
+            n, deferred = sum(of.values()), of.get((False, False), 0) + of.get((False, True), 0)
+            errors, kept = of.get((False, True), 0) + of.get((True, True), 0), of.get((True, True), 0)
+            out += [deferred / n if n else None, (errors - kept) / errors if errors else None, kept / (n - deferred) if n - deferred else None]
+        return out
+
+    names = [f"{s}_{x}" for s in slices for x in ("deferral", "capture", "auto_risk")]
+    return rounded(ev.intervals(ev.replicated(t.spark, strata, point, names, 2000, 45)))
+
+
+@query("bootstrap_per_code")
+def bootstrap_per_code(t: Tables) -> DataFrame:
+    """Precision, recall, F1 and false positive rate of two codes (each system's flag is one), from the same resamples."""
+    strata = [ev.outcomes(t.scored, {"gold": GOLD(), "a": P() >= 0.4, "b": F.col("p2") >= 0.4})]
+
+    def scores(drawn: list) -> list:
+        out = []
+        for code in (1, 2):
+            c = {(g, f): sum(n for k, n in drawn[0] if k[0] == g and k[code] == f) for g in (0, 1) for f in (False, True)}
+            tp, fp, fn, tn = c[1, True], c[0, True], c[1, False], c[0, False]
+            div = lambda a, b: a / b if b else None
+            out += [div(tp, tp + fp), div(tp, tp + fn), div(2 * tp, 2 * tp + fp + fn), div(fp, fp + tn)]
+        return out
+
+    names = [f"{c}_{m}" for c in ("a", "b") for m in ("precision", "recall", "f1", "fpr")]
+    return rounded(ev.intervals(ev.replicated(t.spark, strata, scores, names, 2000, 46)))
+
+
+@query("bootstrap_system_deltas")
+def bootstrap_system_deltas(t: Tables) -> DataFrame:
+    """Each metric of the second system less that of the first on the same resampled rows, over all rows and in each slice."""
+    strata = [ev.outcomes(t.scored, {"slice": F.col("slice"), "gold": GOLD(), "a": P() >= 0.4, "b": F.col("p2") >= 0.4})]
+    slices = ("all", "free", "hit")
+
+    def deltas(drawn: list) -> list:
+        out = []
+        for s in slices:
+            rows = [(k, n) for k, n in drawn[0] if s in ("all", k[0])]
+            total = sum(n for _, n in rows)
+            flagged = [sum(n for k, n in rows if k[i] and k[1] == 1) for i in (2, 3)]
+            right = [sum(n for k, n in rows if k[i] == (k[1] == 1)) for i in (2, 3)]
+            pos = sum(n for k, n in rows if k[1] == 1)
+            out += [(flagged[1] - flagged[0]) / pos if pos else None, (right[1] - right[0]) / total if total else None]
+        return out
+
+    return rounded(ev.intervals(ev.replicated(t.spark, strata, deltas, [f"{s}_{m}" for s in slices for m in ("recall", "accuracy")], 2000, 47)))
 
 
 @query("bootstrap_calibration")
