@@ -35,7 +35,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moderix.llm import textvec
+from moderix.llm import stages, textvec
 
 WORDS, LEAST = 5, 0.8
 BLOCKS, RADIUS = 8, 20
@@ -121,7 +121,7 @@ def shared_shingles(benchmark: DataFrame, text_col: str = "text") -> Shared:
                 s, k = np.unique(np.concatenate(runs), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(k.astype(np.int64))], ["shingle", "k"])
 
-    each = benchmark.select(F.col(text_col).cast("string")).mapInArrow(count, "shingle long, k long")
+    each = benchmark.select(F.col(text_col).cast("string")).mapInArrow(stages.tidied(count), "shingle long, k long")
     got = each.groupBy("shingle").agg(F.sum("k").alias("k")).filter("k > 1").toArrow()
     s, k = (got.column(i).to_numpy() for i in range(2))
     order = np.argsort(s.view(np.uint64))
@@ -303,18 +303,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 cols = [pa.array([item[x[1]] for x in got], pa.int64()), *(pa.array([x[k] for x in got], t) for k, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.float64())))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([x[0] for x in got], pa.int64())), *cols], [id_col, "item_id", "start_word", "n_words", "similarity"])
 
-        part = docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {SHAPE}")
+        part = docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(stages.tidied(run), f"`{id_col}` {kind}, {SHAPE}")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], f"`{id_col}` {kind}, {SHAPE}")
 
 
 def _free_of(held: Broadcast) -> Callable[[F.Column], F.Column]:
-    @F.arrow_udf("boolean")
-    def free(text: pa.Array) -> pa.Array:
+    def kept(text: pa.Array) -> pa.Array:
         keep = np.ones(len(text), bool)
         keep[[x[0] for x in matches(held.value, text)]] = False
         return pa.array(keep)
 
+    @F.arrow_udf("boolean")
+    def free(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from stages.tidied(lambda xs: map(kept, xs))(texts)
+
     return free
 
 

@@ -266,7 +266,7 @@ def _sets(docs: DataFrame, n: int, t: Threshold, level: np.ndarray, boundary: in
         if amount:
             yield from blobs(posts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stages.tidied(run), SETS)
 
 
 def digest_of(own: np.ndarray) -> bytes:
@@ -318,7 +318,7 @@ def _lists(sets: DataFrame) -> DataFrame:
     # in order of range, so that a task holds the postings of one range at a time
     blobs = sets.filter(F.col("kind") == BLOB).select("part", "blob").repartition(stages.parallelism(sets.sparkSession), "part").sortWithinPartitions("part")
     single = sets.filter(F.col("kind") == SINGLE).selectExpr("1 kind", "key", "ref", "n_shingles size", "ref a", "n_shingles a_size")
-    return blobs.mapInArrow(meet, shape).unionByName(single)
+    return blobs.mapInArrow(stages.tidied(meet), shape).unionByName(single)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, t: Threshold, name: str) -> DataFrame:
@@ -438,14 +438,17 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     maybe, sure = stages.only_members(docs, id_col, bits), stages.only_members(docs, id_col, bits, False)
     own = next(x for k in range(len(docs.columns) + 1) if (x := f"_set{k}") not in docs.columns)
 
-    @F.arrow_udf("array<long>")
-    def digest(text: pa.Array) -> pa.Array:
+    def digests(text: pa.Array) -> pa.Array:
         out = []
         for w in textvec.pieces(text):
             first, h = textvec.shingle_sets(w, n)
             out += [struct.unpack("<qq", digest_of(h[a:z])) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         return pa.array(out, pa.list_(pa.int64()))
 
+    @F.arrow_udf("array<long>")
+    def digest(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from stages.tidied(lambda xs: map(digests, xs))(texts)
+
     maybe = maybe.withColumn(own, digest(F.col(f"`{text_col}`").cast("string")))
     key = (F.col(f"`{id_col}`").cast("long") == touched["_id"]) & (F.array(touched["_s1"], touched["_s2"]) == F.col(own))
     safe = maybe.join(touched, key, "left_anti").drop(own)

@@ -147,7 +147,7 @@ def evidence(pages: DataFrame, model: TextModel, id_col: str, url_col: str, html
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(score), pa.list_(pa.float64()))], [id_col, "host", "local"])
 
     cols = pages.select(id_col, h.alias("host"), F.col(html_col).alias("html"), declared.alias("declared"), address.alias("address"))
-    return cols.mapInArrow(run, f"`{id_col}` {kind}, host string, local array<double>")
+    return cols.mapInArrow(stages.tidied(run), f"`{id_col}` {kind}, host string, local array<double>")
 
 
 def _sums(n: int, of: str) -> list[Column]:

@@ -138,7 +138,7 @@ def _dealt(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFram
         if held:
             yield flush()
 
-    return shape.withColumn("chunk", chunk).mapInArrow(run, "chunk int, blob binary")
+    return shape.withColumn("chunk", chunk).mapInArrow(stages.tidied(run), "chunk int, blob binary")
 
 
 def _rows(table: pa.Table) -> pa.Table:

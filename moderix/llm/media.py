@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moderix.llm import stages
+
 WIDTH, UNIT, PAD = 64, 576, 255
 MAGIC = b"\x89PNG\r\n\x1a\n"
 ITEM = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
@@ -184,7 +186,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parsed(x) for x in b.column(1).to_pylist()], item)], [id_col, "items"])
 
-    return pages.select(id_col, F.col(html_col).alias("html")).mapInArrow(run, f"`{id_col}` {kind}, items {ITEM}")
+    return pages.select(id_col, F.col(html_col).alias("html")).mapInArrow(stages.tidied(run), f"`{id_col}` {kind}, items {ITEM}")
 
 
 def stored(payloads: DataFrame) -> DataFrame:
@@ -200,7 +202,7 @@ def stored(payloads: DataFrame) -> DataFrame:
                     done.update(d for d, _ in part)
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.string()), pa.array([png(padded(p or b"")) for _, p in part], pa.binary())], ["digest", "media"])
 
-    made = payloads.select("digest", "payload").mapInArrow(run, "digest string, media binary")
+    made = payloads.select("digest", "payload").mapInArrow(stages.tidied(run), "digest string, media binary")
     return made.groupBy("digest").agg(F.first("media").alias("media"))
 
 
@@ -226,7 +228,7 @@ def features(media: DataFrame) -> DataFrame:
                 got = list(zip(*(one(m) for m in b.column(1).slice(at, 500).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), *(pa.array(x) for x in got)], [x.split()[0] for x in FEATURES.split(", ")])
 
-    return media.mapInArrow(run, FEATURES)
+    return media.mapInArrow(stages.tidied(run), FEATURES)
 
 
 def resolve(items: DataFrame, known: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moderix.llm import stages
+
 SPACE = "▁"
-#: Segments of up to ``SHORT`` characters in each of the two generations that a worker keeps: at most about 40 MB each; more only saves time.
-CACHE, SHORT = 150_000, 64
+#: Segments of up to ``SHORT`` characters in each of the two generations that a worker keeps: at most about 20 MB each; more only saves time.
+CACHE, SHORT = 60_000, 64
 #: Rows of an Arrow batch that are handled at a time.
-BATCH = 1000
+BATCH = 200
 
 
 class Mismatch(AssertionError):
@@ -173,7 +175,7 @@ def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: s
 
     key = docs.select(id_col).schema[0].dataType.simpleString()
     names = [id_col, *(x.split()[0] for x in schema.split(", "))]
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {key}, {schema}")
+    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(stages.tidied(run), f"`{id_col}` {key}, {schema}")
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", whole_check: bool = False) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,29 @@ def estimated_bytes(df: DataFrame) -> int:
     return 0 if size >> 60 else size
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, if it can give free memory back."""
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function, after which its worker gives free memory back: workers live on, and an executor may keep more of them than it
+    has cores."""
+
+    def tidy(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (libc := _libc()) is not None:
+            libc.malloc_trim(0)
+
+    return tidy
+
+
 CHUNKS = 64
 
 
@@ -110,7 +135,7 @@ def table_sum(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None],
         for k, v in got.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([narrow(v)], pa.binary())], ["chunk", "part"])
 
-    parts = df.mapInArrow(local, "chunk int, part binary").repartition(min(CHUNKS, parallelism(df.sparkSession)), "chunk").mapInArrow(merge, "chunk int, part binary").collect()
+    parts = df.mapInArrow(tidied(local), "chunk int, part binary").repartition(min(CHUNKS, parallelism(df.sparkSession)), "chunk").mapInArrow(merge, "chunk int, part binary").collect()
     out = np.zeros(size, np.uint64)
     for k, part in parts:
         out[k * per : (k + 1) * per] = wide(part)

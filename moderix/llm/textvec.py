@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -37,15 +37,22 @@ _powers = {"n": 0, "up": np.ones(0, U), "down": np.ones(0, U)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, kept between calls."""
-    if _powers["n"] < n:
-        size = max(n, PIECE + PIECE // 4)
-        up, down = np.full(size, U(_STEP)), np.full(size, U(pow(_STEP, -1, 1 << 64)))
-        up[0] = down[0] = U(1)
-        _powers.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
+    """The first n powers, or more, of the base and of its inverse; those for pieces of common length are kept between calls."""
+    common = PIECE + PIECE // 4
+    if n > common:
+        return _made(n)
+    if not _powers["n"]:
+        up, down = _made(common)
+        _powers.update(n=common, up=up, down=down)
     return _powers["up"], _powers["down"]
 
 
+def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, U(_STEP)), np.full(n, U(pow(_STEP, -1, 1 << 64)))
+    up[0] = down[0] = U(1)
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 def _table(separators: bytes, keep: bytes | None) -> np.ndarray:
     inside = np.ones(256, bool)
     inside[list(separators)] = False

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moderix.llm import stages
+
 RULES = ("first", "most", "share")
 BATCH = 500
 
@@ -103,4 +105,4 @@ def counted(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "first",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(crossing, pa.int64()), pa.array(out, pa.list_(pa.float64()))], [id_col, "n_tokens", "n_crossing", "sections"])
 
     cols = [F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)]
-    return docs.select(id_col, *cols).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_crossing long, sections array<double>")
+    return docs.select(id_col, *cols).mapInArrow(stages.tidied(run), f"`{id_col}` {kind}, n_tokens long, n_crossing long, sections array<double>")

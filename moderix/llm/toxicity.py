@@ -82,7 +82,7 @@ def _class_counts(rows: DataFrame) -> DataFrame:
                 b = np.bincount(where, minlength=len(names)) - a
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(a), pa.array(b)], ["feature", "a", "b"])
 
-    each = rows.select("text", "toxic").mapInArrow(run, "feature long, a long, b long")
+    each = rows.select("text", "toxic").mapInArrow(stages.tidied(run), "feature long, a long, b long")
     return each.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
@@ -118,7 +118,7 @@ def _features_of(rows: DataFrame, names: np.ndarray) -> DataFrame:
 
     kind = rows.select("id").schema[0].dataType.simpleString()
     cols = rows.select("id", F.xxhash64("text").alias("said"), "text", F.col("grade").cast("long").alias("grade"))
-    return cols.mapInArrow(run, f"id {kind}, said long, grade long, at array<int>, times array<long>, hits long")
+    return cols.mapInArrow(stages.tidied(run), f"id {kind}, said long, grade long, at array<int>, times array<long>, hits long")
 
 
 def design(at: list[list[int]], times: list[list[int]], features: int) -> np.ndarray:
@@ -197,14 +197,14 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             severity, p = model.severity(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity), pa.array(p)], [id_col, "severity", "p_toxic"])
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, severity double, p_toxic double")
+    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(stages.tidied(run), f"`{id_col}` {kind}, severity double, p_toxic double")
 
 
 def screened(docs: DataFrame, model: Model, reject: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose P(grade > 0) is below ``reject``."""
 
     @F.arrow_udf("double")
-    def p_toxic(text: pa.Array) -> pa.Array:
-        return pa.array(model.severity(text)[1])
+    def p_toxic(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from stages.tidied(lambda xs: (pa.array(model.severity(x)[1]) for x in xs))(texts)
 
     return docs.filter(p_toxic(F.col(f"`{text_col}`").cast("string")) < reject)

@@ -238,14 +238,21 @@ def norm_ppf(q: float) -> float:
     return NormalDist().inv_cdf(q)
 
 
+def _runs(ordered: Column) -> Column:
+    """(token, k) of each run of equal values."""
+    n = F.size(ordered)
+    starts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+    found = lambda at: F.transform(at, lambda i, j: F.struct(F.get(ordered, i - 1).alias("token"), (F.coalesce(F.get(at, j + 1), n + 1) - i).alias("k")))
+    return F.transform(F.array(starts), found)[0]
+
+
 def token_table(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Per token: documents, positive documents, occurrences, lift, z against the base rate, excess positives.
 
     Counts are aggregated by token; the totals are one row, joined as such.
     """
     n = rows.agg(F.count("*").alias("n"), F.sum("gold").alias("n1"))
-    seen = F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("token"), F.size(F.filter(tokens, lambda x: x == w)).alias("k")))
-    each = rows.select("gold", F.explode(seen).alias("x")).select("gold", "x.token", "x.k")
+    each = rows.select("gold", F.explode(F.transform(F.array(F.array_sort(tokens)), _runs)[0]).alias("x")).select("gold", "x.token", "x.k")
     t = each.groupBy("token").agg(F.count("*").alias("df"), F.sum("gold").alias("df1"), F.sum("k").alias("occurrences")).crossJoin(F.broadcast(n))
     base, df = F.col("n1") / F.col("n"), F.col("df")
     sd = F.sqrt(df * base * (1 - base))
@@ -263,13 +270,17 @@ def stratum_rate(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "stratum").agg(ratio(F.sum(F.col("w") * F.col("r")), F.sum("w")).alias("rate"), F.sum("w").alias("weight"))
 
 
+def seeded(key: Column, seed: int) -> Column:
+    """The seeded hash by which rows are dealt: MD5 of ``key|seed``, in hexadecimal digits."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")).cast("binary"))
+
+
 def stratified_split(rows: DataFrame, share: float, seed: int, key: str = "row_id", label: str = "gold") -> DataFrame:
     """rows plus ``part``: of each class half-even round of n times share go to dev, by least seeded hash, ties by id.
 
     Independent of row order. The cut is a count per class and hash range first; only the hash ranges in which a cut falls are ranked.
     """
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    base = rows.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 48))
+    base = rows.withColumn("_h", seeded(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, 4))
     sizes = base.groupBy(label, "_b").agg(F.count("*").alias("_k"))
     total = sizes.groupBy(label).agg(F.bround(F.sum("_k") * share).cast("long").alias("_want"))
     before = F.coalesce(F.sum("_k").over(W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -280,8 +291,7 @@ def stratified_split(rows: DataFrame, share: float, seed: int, key: str = "row_i
 
 def stratified_folds(rows: DataFrame, k: int, seed: int, key: str = "row_id", label: str = "gold") -> DataFrame:
     """rows plus ``fold``: each class is dealt round-robin in order of seeded hash, ties by id."""
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    base = rows.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 48))
+    base = rows.withColumn("_h", seeded(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, 4))
     sizes = base.groupBy(label, "_b").agg(F.count("*").alias("_k"))
     before = F.coalesce(F.sum("_k").over(W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = base.join(sizes.select(label, "_b", before.alias("_before")), [label, "_b"]).withColumn("_r", F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", F.col(key).cast("string"))))

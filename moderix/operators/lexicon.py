@@ -1,7 +1,7 @@
 """Lexicon operators: a pluggable table of roots matched by prefix, exactly or inside tokens.
 
-A prefix match (token starts with root) is an equi-join: tokens are exploded once to their distinct prefixes of the
-lengths that roots have. Roots under three letters never hit.
+A prefix match (token starts with root) is an equi-join of distinct tokens: each token of all rows is cut once to its prefixes, however
+many rows hold it, and what it hits is joined back on the token. Roots under three letters never hit.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ def prefix_hits(rows: DataFrame, roots: DataFrame, key: str = "row_id", tokens:
     """(key, token, root): every token of a row with every root that it starts with."""
     table, longest = sized(roots.filter(F.length("root") >= LEAST).select("root").distinct())
     each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token")).filter(F.length("token") >= LEAST)
+    words = each.select("token").distinct()
     cuts = F.explode(F.transform(F.sequence(F.lit(LEAST), F.least(F.length("token"), F.lit(max(LEAST, longest)))), lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("root")
-    return each.select(key, "token", cuts).join(table, "root").select(key, "token", "root")
+    return each.join(words.select("token", cuts).join(table, "root"), "token").select(key, "token", "root")
 
 
 def exact_hits(rows: DataFrame, roots: DataFrame, key: str = "row_id", tokens: str = "tokens") -> DataFrame:
@@ -34,18 +35,16 @@ def exact_hits(rows: DataFrame, roots: DataFrame, key: str = "row_id", tokens: s
 
 
 def inner_hits(rows: DataFrame, roots: DataFrame, key: str = "row_id", tokens: str = "tokens") -> DataFrame:
-    """(key, token, root) where the root is in the token behind its start: a possible collision. All pieces of a token of the roots' lengths meet the roots by equality."""
-    lengths = [r[0] for r in roots.select(F.length("root").alias("n")).distinct().orderBy("n").limit(64).collect() if r[0] and r[0] >= LEAST]
+    """(key, token, root) where the root is in the token behind its start: a possible collision. All pieces of each distinct token, of the lengths that roots
+    have, meet the roots by equality; the lengths are rows of a join, so there may be any number."""
     table, _ = sized(roots.select("root").distinct())
+    lengths = roots.select(F.length("root").alias("n")).filter(F.col("n") >= LEAST).agg(F.sort_array(F.collect_set("n")).alias("lengths"))
     each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
-    pieces = F.flatten(F.array(*(_pieces(n) for n in lengths))) if lengths else F.array().cast("array<string>")
-    return each.select(key, "token", F.explode(F.array_distinct(pieces)).alias("root")).join(table, "root").select(key, "token", "root")
-
-
-def _pieces(n: int) -> Column:
-    """All pieces of n letters of the column token but its start."""
-    starts = F.when(F.length("token") > n, F.sequence(F.lit(2), F.length("token") - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(F.col("token"), i, F.lit(n)))
+    words = each.select("token").distinct().crossJoin(F.broadcast(lengths))
+    cuts = words.select("token", F.explode(F.filter("lengths", lambda n: n < F.length("token"))).alias("n"))
+    start = F.explode(F.sequence(F.lit(2), F.length("token") - F.col("n") + 1)).alias("i")
+    pieces = cuts.select("token", "n", start).select("token", F.substring(F.col("token"), F.col("i"), F.col("n")).alias("root")).distinct()
+    return each.join(pieces.join(table, "root"), "token").select(key, "token", "root")
 
 
 def leaked(token: Column, short_roots: list[str]) -> Column:

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moderix.operators.evaluation import seeded
+
 RECORD = "verdict string, content array<struct<code:string,score:double,source:string,fired:boolean>>, guards array<struct<code:string,active:boolean>>, signals struct<pipeline:struct<degraded:array<string>>, decision:struct<binary_offensive:struct<fired:boolean>>>"
 
 
@@ -140,7 +142,7 @@ def matched_outcomes(asked: DataFrame, answered: DataFrame) -> DataFrame:
 
 def random_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows without replacement, by least seeded hash, in that order: a draw that any run can repeat."""
-    return rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    return rows.orderBy(seeded(F.col(key), seed), key).limit(n)
 
 
 def out_of_fold(parts: list[DataFrame], whole: DataFrame, key: str = "row_id") -> DataFrame:

@@ -267,7 +267,7 @@ def split_sizes(t: Tables) -> DataFrame:
     return ev.stratified_split(t.scored, 0.2, 42).groupBy("gold", "part").agg(F.count("*").alias("n"))
 
 
-@query("stratified_split")
+@query("stratified_split", "select row_id, gold, case when r <= round_even(n * 0.5, 0) then 'dev' else 'train' end as part from (select row_id, gold, row_number() over (partition by gold order by md5(row_id || '|7'), cast(row_id as varchar)) as r, count(*) over (partition by gold) as n from scored)")
 def split(t: Tables) -> DataFrame:
     return ev.stratified_split(t.scored, 0.5, 7).select("row_id", "gold", "part")
 
@@ -277,6 +277,11 @@ def folds(t: Tables) -> DataFrame:
     return ev.stratified_folds(t.scored, 5, 42).groupBy("gold", "fold").agg(F.count("*").alias("n"))
 
 
+@query("stratified_fold_of_rows", "select row_id, cast((row_number() over (partition by gold order by md5(row_id || '|42'), cast(row_id as varchar)) - 1) % 5 as int) as fold from scored")
+def fold_of_rows(t: Tables) -> DataFrame:
+    return ev.stratified_folds(t.scored, 5, 42).select("row_id", "fold")
+
+
 @query("fingerprint", "select sha256(string_agg(row_id, chr(10) order by row_id)) as sha256, count(*) as n, count(*) - count(distinct row_id) as repeated from (select cast(row_id as varchar) as row_id from scored)")
 def fingerprint(t: Tables) -> DataFrame:
     return ev.fingerprint(t.scored)

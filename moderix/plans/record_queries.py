@@ -109,9 +109,8 @@ def span_segments(t: Tables) -> DataFrame:
 
 @query("normalization_changes")
 def normalization_changes(t: Tables) -> DataFrame:
-    rows = t.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("s a l a k "), "text").alias("text"))
-    c = charsafe.charsafe(rows, "id").select("id", "charsafe_text", "offsets")
-    d = deobfuscate.deobfuscated(rows.join(c, "id"), "id")
+    rows = t.raw("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.concat(F.lit("s a l a k "), "text").alias("text"))
+    d = deobfuscate.deobfuscated(charsafe.charsafe(rows, "id", with_text=True), "id")
     return d.select("id", F.explode(rec.changes(F.col("patterns"), F.col("offsets"))).alias("x")).select("id", "x.*")
 
 
@@ -133,7 +132,7 @@ def matched_outcomes(t: Tables) -> DataFrame:
     return rec.matched_outcomes(a, a).select("id", F.col("n").cast("long").alias("n"), "place", "answer_place")
 
 
-@query("random_sample")
+@query("random_sample", "select row_id, gold from scored order by md5(row_id || '|42'), row_id limit 100")
 def random_sample(t: Tables) -> DataFrame:
     return rec.random_sample(t.scored.select("row_id", "gold"), 100, 42, "row_id")
 

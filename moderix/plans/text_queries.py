@@ -17,7 +17,7 @@ LEXICON = lexicon_scan.lexicon_of([("idiot", "idiot", "B1"), ("moron", "moron",
 
 def posts(t: Tables) -> DataFrame:
     c = t.raw("conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
 
 
 @query("charsafe_posts")
@@ -28,13 +28,24 @@ def charsafe_posts(t: Tables) -> DataFrame:
 
 @query("deobfuscated_posts")
 def deobfuscated_posts(t: Tables) -> DataFrame:
-    p = posts(t)
-    c = charsafe.charsafe(p, "id").select("id", "charsafe_text", "offsets")
-    d = deobfuscate.deobfuscated(p.join(c, "id"), "id")
+    d = deobfuscate.deobfuscated(charsafe.charsafe(posts(t), "id", with_text=True), "id")
     return d.select("id", F.length("normalized_text").alias("n"), F.array_join(F.transform("patterns", lambda x: x["code"]), " ").alias("codes"), "ok")
 
 
-@query("target_posts")
+#: Words of a post, lower-cased, without what follows an apostrophe; groups der and les, thing the.
+TARGET_SQL = rf""", w as (
+  select conv_id || '/' || turn as id, regexp_extract(unnest(regexp_extract_all(lower(translate(text, 'Iİ', 'ıi')), '[\pL\pN]+(?:[''’][\pL\pN]+)?')), '^[^''’]+') as w from conversations),
+s as (
+  select id, w, regexp_extract(w, '^(der|les)(?:{'|'.join(target.ENDS)})*$', 1) as g, regexp_extract(w, '^(the)(?:{'|'.join(target.ENDS)})*$', 1) as t from w),
+k as (
+  select id, w in ({", ".join(f"'{x}'" for x in (*target.SECOND, *target.CALLS))}) or (t = '' and regexp_full_match(w, '\pL{{4,}}(?:{'|'.join(target.VERB_ENDS)})')) as person,
+    g <> '' and not regexp_matches(w[4:], '[aıoöuüâîû]|ki') as grp, t <> '' and not regexp_matches(w[4:], '[aıoöuüâîû]|ki') as thing from s),
+m as (select conv_id || '/' || turn as id, len(regexp_extract_all(' ' || text, '[^\pL\pN_]@[\pL\pN_]{{2,}}')) as n from conversations),
+n as (select id, sum(person::int) as p, sum(grp::int) as g, sum((thing and not grp)::int) as t from k group by 1)
+"""
+
+
+@query("target_posts", "select m.id, case when coalesce(p, 0) + m.n > 0 then 'individual' when g > 0 then 'group' when t > 0 then 'non_human' end as type, cast(least(8, coalesce(p + g + t, 0) + m.n) as int) as n from m left join n on n.id = m.id where true", TARGET_SQL)
 def target_posts(t: Tables) -> DataFrame:
     r = target.resolved(posts(t), "id", groups=frozenset({"der", "les"}), things=frozenset({"the"}))
     return r.select("id", F.get("targets", 0)["type"].alias("type"), F.size("targets").alias("n"))
