@@ -27,7 +27,9 @@ from moderix.llm import stages
 
 SPACE = "▁"
 #: Segments of up to ``SHORT`` characters in each of the two generations that a worker keeps: at most about 20 MB each; more only saves time.
-CACHE, SHORT = 60_000, 64
+CACHE, SHORT = 100_000, 64
+#: Places, a power of two, of the table that tells which segments were met before: only what comes again is kept, so the many that come once do not crowd out others.
+MET = 1 << 22
 #: Rows of an Arrow batch that are handled at a time.
 BATCH = 200
 
@@ -67,6 +69,11 @@ class PieceBpe:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.met, self.marks = bytearray(MET >> 3), 0
+
+    def forget(self) -> None:
+        """Empty the caches: an idle worker need not hold them."""
+        self.cache, self.old = {}, {}
 
     def agenda(self, segment: str) -> list[int]:
         """The ids of one segment."""
@@ -116,13 +123,27 @@ class PieceBpe:
         ids = iter(made)
         return {p: np.array([i for s in x if s for i in next(ids)], self.pack).tobytes() for p, x in zip(new, parts, strict=True)}
 
+    def _again(self, part: str) -> bool:
+        """Was this segment, or another of its place, met before? It is from now on."""
+        h = hash(part) & (MET - 1)
+        bit = 1 << (h & 7)
+        if self.met[h >> 3] & bit:
+            return True
+        self.met[h >> 3] |= bit
+        self.marks += 1
+        if self.marks > MET >> 2:
+            self.met, self.marks = bytearray(MET >> 3), 0
+        return False
+
     def _known(self, parts: set[str]) -> dict[str, bytes]:
         """A table that has all these parts. What a full generation leaves behind is there until the next is full."""
         missing = parts - self.cache.keys()
         made = {p: self.old[p] for p in missing if p in self.old}
+        short = dict(made)
         if new := [p for p in missing if p not in made]:
-            made |= self._fill(new)
-        short = {p: x for p, x in made.items() if len(p) <= SHORT}
+            fresh = self._fill(new)
+            made |= fresh
+            short |= {p: x for p, x in fresh.items() if len(p) <= SHORT and self._again(p)}
         if len(self.cache) + len(short) > CACHE:
             got = {p: made[p] if p in made else self.cache[p] for p in parts}
             self.old, self.cache = self.cache, short if len(short) <= CACHE else {}
@@ -172,6 +193,7 @@ def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: s
             for at in range(0, b.num_rows, BATCH):
                 part = b.slice(at, BATCH)
                 yield pa.RecordBatch.from_arrays([part.column(0), *give(bpe, part.column(1))], names)
+        bpe.forget()
 
     key = docs.select(id_col).schema[0].dataType.simpleString()
     names = [id_col, *(x.split()[0] for x in schema.split(", "))]

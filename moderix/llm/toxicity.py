@@ -180,7 +180,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").distinct()
     taken = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    ids = spark.createDataFrame([tuple(r) for t in taken for r in t.collect()], known.schema)
+    ids = spark.createDataFrame(pa.concat_tables(t.toArrow() for t in taken), known.schema)
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "text", F.col("toxic").alias("grade"))
     rows = stages.written(rows, "labelled")
     model = fitted(rows, GRADES)
