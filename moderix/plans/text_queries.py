@@ -110,7 +110,7 @@ def quarantine(t: Tables) -> DataFrame:
     return rows.groupBy("broken").agg(F.count("*").alias("n"))
 
 
-@query("fan_out_counts")
+@query("fan_out_counts", "select unnest(['comments', 'scores', 'decisions']) as relation, unnest([n, 2 * n, n]) as n from (select count(*) as n from ev)")
 def fan_out_counts(t: Tables) -> DataFrame:
     p = moderation_posts(t)
     parts = zip(("comments", "scores", "decisions"), sinks.fan_out(p), strict=True)
@@ -128,7 +128,9 @@ def moderation_posts(t: Tables) -> DataFrame:
     return d.withColumn("text", F.col("id").cast("string")).withColumn("created_us", F.lit(NOW_US))
 
 
-@query("rows_digest")
+@query("rows_digest", """select sha256(string_agg(d, '' order by p)) as sha256, cast(sum(n) as bigint) as n from (
+  select substr(h, 1, 2) as p, sha256(string_agg(h, '' order by h)) as d, count(*) as n from (
+    select sha256(concat('{"gold":', gold, ',"n_chars":', n_chars, ',"p":', p, ',"p2":', p2, ',"row_id":', row_id, ',"slice":"', slice, '"}')) as h from scored) group by 1)""")
 def rows_digest(t: Tables) -> DataFrame:
     return sinks.rows_digest(t.scored, "row_id")
 
@@ -149,17 +151,61 @@ def rolling_percentile(t: Tables) -> DataFrame:
     return jobs.last_percentile(t.metrics, 0.95, NOW_US, 50, 3 * DAY_US)
 
 
-@query("rate_limited")
+@query("rate_limited", """select id, allowed from r""", """, o as (
+  select user_id as ip, event_id as id, us, row_number() over (partition by user_id order by us, event_id) as n from ev),
+r as (
+  select ip, id, us, n, 2.0::double as left_over, true as allowed from o where n = 1
+  union all select ip, id, us, n, case when tokens >= 1 then tokens - 1 else tokens end, tokens >= 1
+  from (select o.*, least(3.0::double, r.left_over + (o.us - r.us) / 1e6::double * 0.0002::double) as tokens from r join o on o.ip = r.ip and o.n = r.n + 1))
+""")
 def rate_limited(t: Tables) -> DataFrame:
     return jobs.rate_limited(t.ev.select(F.col("user_id").alias("ip"), F.col("event_id").alias("id"), F.col("us").alias("received_us")), 0.0002, 3)
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", """select id, state, state <> 'open' as let from r""", f""", o as (
+  select user_id as service, event_id as id, us, k % 3 <> 0 as ok, row_number() over (partition by user_id order by us, event_id) as n from ev),
+r as (
+  select service, id, us, n, 'closed' as state, 'closed' as after, case when ok then 0 else 1 end::bigint as run, 0::bigint as since from o where n = 1
+  union all select service, id, us, n, state, case when state = 'open' then 'open' when ok then 'closed' when state = 'half_open' or run + 1 >= 2 then 'open' else state end,
+    case when state = 'open' then run when ok then 0 when state = 'half_open' or run + 1 >= 2 then 0 else run + 1 end,
+    case when state <> 'open' and not ok and (state = 'half_open' or run + 1 >= 2) then us else since end
+  from (select o.*, case when r.after = 'open' and o.us - r.since >= {60 * MINUTE_US} then 'half_open' else r.after end as state, r.run, r.since from r join o on o.service = r.service and o.n = r.n + 1))
+""")
 def circuit_breaker(t: Tables) -> DataFrame:
     rows = t.ev.select(F.col("user_id").alias("service"), F.col("event_id").alias("id"), F.col("us").alias("at_us"), (F.col("k") % 3 != 0).alias("ok"))
     return jobs.breaker(rows, 2, 60 * MINUTE_US)
 
 
+@query("cache_hits", "select count(*) as n, count(*) filter (hit) as hits from r", f""", o as (
+  select user_id, k, us, row_number() over (partition by user_id, k order by us, event_id) as n from ev),
+r as (
+  select user_id, k, n, us as born, false as hit from o where n = 1
+  union all select user_id, k, n, case when us - born < {60 * MINUTE_US} then born else us end, us - born < {60 * MINUTE_US} from (select o.*, r.born from r join o on o.user_id = r.user_id and o.k = r.k and o.n = r.n + 1))
+""")
+def cache_hits(t: Tables) -> DataFrame:
+    """An hour's cache of 10 000 texts for each user."""
+    rows = t.ev.select(F.col("user_id").alias("artifact"), F.col("event_id").alias("id"), F.col("k").cast("string").alias("key"), F.col("us").alias("at_us"), F.lit(True).alias("ok"))
+    return jobs.cache_hits(rows, 10_000, 60 * MINUTE_US).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+
+
+@query("queue_admission")
+def queue_admission(t: Tables) -> DataFrame:
+    rows = t.ev.select(F.col("event_type").alias("service"), F.col("event_id").alias("id"), F.col("us").alias("at_us"))
+    return jobs.queued(rows, 4, 2, MINUTE_US, 1, 30 * MINUTE_US)
+
+
+@query("writer_flushes")
+def writer_flushes(t: Tables) -> DataFrame:
+    kind = F.when(F.col("k") % 3 == 0, "analysis").otherwise("metric")
+    rows = t.ev.select(F.col("user_id").alias("writer"), F.col("event_id").alias("id"), kind.alias("kind"), F.col("us").alias("at_us"))
+    return jobs.buffered(rows, 3, 5, 600 * MINUTE_US)
+
+
+@query("polled_aggregates", f"select event_id as id, row_number() over (partition by event_type, us // {MINUTE_US} order by us, event_id) = 1 as fresh from ev")
+def polled_aggregates(t: Tables) -> DataFrame:
+    return jobs.polled(t.ev.select(F.col("event_type").alias("name"), F.col("event_id").alias("id"), F.col("us").alias("at_us")), MINUTE_US)
+
+
 @query("metrics_windows", f"select floor(created_us / {5 * MINUTE_US})::bigint as w, count(*) as n from metrics group by 1")
 def metrics_windows(t: Tables) -> DataFrame:
     ts = F.timestamp_micros("created_us")

@@ -74,41 +74,222 @@ def last_percentile(rows: DataFrame, q: float, now_us: int, keep: int = 4096, ag
     return got.select("endpoint", F.element_at("l", at).alias("value"), F.size("l").cast("long").alias("n"))
 
 
+def replayed(rows: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, dict], list[tuple]], end: Callable[[object], list[tuple]] = lambda state: []) -> DataFrame:
+    """Rows of each key in order through a state: ``step`` changes it and gives output rows, ``end`` gives those that are left.
+
+    Keys are dealt to partitions and sorted there by Spark, which spills; the rows then stream by, so that a key with any number of rows
+    holds one batch and its state in memory.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        now, state, first = None, None, True
+        for f in frames:
+            out: list[tuple] = []
+            for row in f.to_dict("records"):
+                if first or row[key] != now and not (pd.isna(row[key]) and pd.isna(now)):
+                    out += [] if first else end(state)
+                    now, state, first = row[key], start(), False
+                out += step(state, row)
+            yield pd.DataFrame(out, columns=names)
+        if not first:
+            yield pd.DataFrame(end(state), columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+class Bucket:
+    """A token bucket."""
+
+    def __init__(self, per_second: float, burst: float, left: float | None = None, last: int | None = None) -> None:
+        self.rate, self.burst, self.left, self.last = per_second, burst, burst if left is None else left, last
+
+    def take(self, at_us: int) -> bool:
+        if self.last is not None:
+            self.left = min(self.burst, self.left + max(0, at_us - self.last) / 1e6 * self.rate)
+        self.last = at_us
+        allowed = self.left >= 1
+        self.left -= allowed
+        return allowed
+
+
 def rate_limited(rows: DataFrame, per_second: float, burst: float) -> DataFrame:
     """(id, allowed): a token bucket per ip, replayed in order of time; ip, id long, received_us long."""
+    step = lambda bucket, r: [(r["id"], bucket.take(r["received_us"]))]
+    return replayed(rows.select("ip", "id", "received_us"), "ip", ["received_us", "id"], "id long, allowed boolean", lambda: Bucket(per_second, burst), step)
+
 
-    def replay(key, f):  # noqa: ANN001, ANN202
-        f = f.sort_values(["received_us", "id"], kind="stable")
-        left, last, out = burst, None, []
-        for t in f.received_us:
-            left = burst if last is None else min(burst, left + (t - last) / 1e6 * per_second)
-            last = t
-            out.append(left >= 1)
-            left -= 1 if left >= 1 else 0
-        return f.assign(allowed=out)[["id", "allowed"]]
+def rate_limited_stream(rows: DataFrame, per_second: float, burst: float, idle_ms: int = 600_000) -> DataFrame:
+    """The same limiter on a stream: the bucket of an ip is its state, which goes when nothing has come for ``idle_ms`` (a bucket that
+    is full again by then loses nothing)."""
+    idle_ms = max(idle_ms, int(burst / per_second * 1000) + 1)
 
-    return rows.select("ip", "id", "received_us").groupBy("ip").applyInPandas(replay, "id long, allowed boolean")
+    def step(key, frames, state):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        bucket = Bucket(per_second, burst, *(state.get if state.exists else ()))
+        for f in frames:
+            f = f.sort_values(["received_us", "id"], kind="stable")
+            yield pd.DataFrame({"id": f["id"], "allowed": [bucket.take(int(t)) for t in f["received_us"]]})
+        state.update((bucket.left, bucket.last))
+        state.setTimeoutDuration(idle_ms)
 
+    return rows.select("ip", "id", "received_us").groupBy("ip").applyInPandasWithState(step, "id long, allowed boolean", "left double, last long", "append", "ProcessingTimeTimeout")
 
-def breaker(rows: DataFrame, failures: int, open_us: int) -> DataFrame:
-    """(id, state, let): a circuit breaker per service over (service, id, at_us, ok): closed until so many failures in a row,
-    open for a time, then half open for one trial."""
-
-    def replay(key, f):  # noqa: ANN001, ANN202
-        f = f.sort_values(["at_us", "id"], kind="stable")
-        state, run, since, out = "closed", 0, 0, []
-        for t, ok in zip(f.at_us, f.ok, strict=True):
-            if state == "open" and t - since >= open_us:
-                state = "half_open"
-            out.append((state, state != "open"))
-            if state == "open":
-                continue
+
+class Circuit:
+    """Closed until so many failures in a row, open for a time, then half open for one trial."""
+
+    def __init__(self, failures: int, open_us: int, state: str = "closed", run: int = 0, since: int = 0) -> None:
+        self.failures, self.open_us, self.state, self.run, self.since = failures, open_us, state, run, since
+
+    def see(self, at_us: int, ok: bool) -> tuple[str, bool]:
+        """(state at the call, may it pass); then what became of it."""
+        if self.state == "open" and at_us - self.since >= self.open_us:
+            self.state = "half_open"
+        was = self.state
+        if was != "open":
+            self.run = 0 if ok else self.run + 1
             if ok:
-                state, run = "closed", 0
-            else:
-                run += 1
-                if state == "half_open" or run >= failures:
-                    state, since, run = "open", t, 0
-        return f.assign(state=[x[0] for x in out], let=[x[1] for x in out])[["id", "state", "let"]]
-
-    return rows.select("service", "id", "at_us", "ok").groupBy("service").applyInPandas(replay, "id long, state string, let boolean")
+                self.state = "closed"
+            elif was == "half_open" or self.run >= self.failures:
+                self.state, self.since, self.run = "open", at_us, 0
+        return was, was != "open"
+
+
+def breaker(rows: DataFrame, failures: int, open_us: int) -> DataFrame:
+    """(id, state, let): a circuit breaker per service over (service, id, at_us, ok), replayed in order of time."""
+    step = lambda c, r: [(r["id"], *c.see(r["at_us"], r["ok"]))]
+    return replayed(rows.select("service", "id", "at_us", "ok"), "service", ["at_us", "id"], "id long, state string, let boolean", lambda: Circuit(failures, open_us), step)
+
+
+def breaker_stream(rows: DataFrame, failures: int, open_us: int, idle_ms: int = 3_600_000) -> DataFrame:
+    """The same breaker on a stream, with its state per service; what has been idle so long is closed again."""
+
+    def step(key, frames, state):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        c = Circuit(failures, open_us, *(state.get if state.exists else ()))
+        for f in frames:
+            f = f.sort_values(["at_us", "id"], kind="stable")
+            said = [c.see(int(t), bool(ok)) for t, ok in zip(f["at_us"], f["ok"], strict=True)]
+            yield pd.DataFrame({"id": f["id"], "state": [x[0] for x in said], "let": [x[1] for x in said]})
+        state.update((c.state, c.run, c.since))
+        state.setTimeoutDuration(max(idle_ms, open_us // 1000 + 1))
+
+    return rows.select("service", "id", "at_us", "ok").groupBy("service").applyInPandasWithState(step, "id long, state string, let boolean", "state string, run long, since long", "append", "ProcessingTimeTimeout")
+
+
+class Cache:
+    """Least recently used entries, each for a time."""
+
+    def __init__(self, entries: int, ttl_us: int) -> None:
+        self.entries, self.ttl, self.held = entries, ttl_us, {}
+
+    def hit(self, key: str, at_us: int, keep: bool) -> bool:
+        born = self.held.pop(key, None)
+        found = born is not None and at_us - born < self.ttl
+        if found or keep:
+            self.held[key] = born if found else at_us
+            if len(self.held) > self.entries:
+                del self.held[next(iter(self.held))]
+        return found
+
+
+def cache_hits(rows: DataFrame, entries: int = 10_000, ttl_us: int = 600_000_000) -> DataFrame:
+    """(id, hit) of requests (artifact, id, key, at_us, ok) in order of time through one cache an artifact; a result that failed is not kept."""
+    step = lambda c, r: [(r["id"], c.hit(r["key"], r["at_us"], r["ok"]))]
+    return replayed(rows.select("artifact", "id", "key", "at_us", "ok"), "artifact", ["at_us", "id"], "id long, hit boolean", lambda: Cache(entries, ttl_us), step)
+
+
+class Queue:
+    """A bounded queue before workers that take batches: of ``most``, or of what there is when the first has waited ``wait_us``."""
+
+    def __init__(self, capacity: int, most: int, wait_us: int, workers: int, batch_us: int) -> None:
+        self.capacity, self.most, self.wait, self.busy, self.free = capacity, most, wait_us, batch_us, [0] * workers
+        self.waiting: list[tuple[int, int]] = []
+        self.batches = 0
+
+    def started(self, upto: float) -> list[tuple]:
+        """Batches that begin by then: (id, True, batch, start)."""
+        out: list[tuple] = []
+        while self.waiting:
+            full = len(self.waiting) >= self.most
+            ready = self.waiting[self.most - 1][1] if full else self.waiting[0][1] + self.wait
+            at = max(ready, min(self.free))
+            if at > upto:
+                break
+            taken, self.waiting = self.waiting[: self.most], self.waiting[self.most :]
+            self.free[self.free.index(min(self.free))] = at + self.busy
+            out += [(i, True, self.batches, int(at)) for i, _ in taken]
+            self.batches += 1
+        return out
+
+    def arrive(self, i: int, at_us: int) -> list[tuple]:
+        out = self.started(at_us)
+        if len(self.waiting) >= self.capacity:
+            return [*out, (i, False, None, None)]
+        self.waiting.append((i, at_us))
+        return out + self.started(at_us)
+
+
+def queued(rows: DataFrame, capacity: int = 256, most: int = 16, wait_us: int = 20_000, workers: int = 2, batch_us: int = 50_000) -> DataFrame:
+    """(id, admitted, batch, start_us) of requests (service, id, at_us): who is turned away by a full queue, and the micro-batch of each other."""
+    new = lambda: Queue(capacity, most, wait_us, workers, batch_us)
+    step = lambda q, r: q.arrive(r["id"], r["at_us"])
+    got = replayed(rows.select("service", "id", "at_us"), "service", ["at_us", "id"], "id long, admitted boolean, batch double, start_us double", new, step, lambda q: q.started(float("inf")))
+    return got.select("id", "admitted", F.col("batch").cast("long").alias("batch"), F.col("start_us").cast("long").alias("start_us"))
+
+
+class Buffers:
+    """Two bounded buffers of a writer, analyses before metrics; flushed together by number or age."""
+
+    KINDS = ("analysis", "metric")
+
+    def __init__(self, capacity: int, size: int, age_us: int) -> None:
+        self.capacity, self.size, self.age = capacity, size, age_us
+        self.held: dict[str, list[int]] = {k: [] for k in self.KINDS}
+        self.first: int | None = None
+        self.flushes = 0
+
+    def flushed(self) -> list[tuple]:
+        out = [(i, k, self.flushes) for k in self.KINDS for i in self.held[k]]
+        self.flushes += bool(out)
+        self.held, self.first = {k: [] for k in self.KINDS}, None
+        return out
+
+    def put(self, i: int, kind: str, at_us: int) -> list[tuple]:
+        out = self.flushed() if self.first is not None and at_us - self.first >= self.age else []
+        if len(self.held[kind]) >= self.capacity:
+            return [*out, (i, kind, -1)]
+        self.held[kind].append(i)
+        self.first = at_us if self.first is None else self.first
+        return out + (self.flushed() if sum(map(len, self.held.values())) >= self.size else [])
+
+
+def buffered(rows: DataFrame, capacity: int = 1000, size: int = 200, age_us: int = 250_000) -> DataFrame:
+    """(id, kind, flush) of rows (writer, id, kind, at_us): the flush that writes each, -1 for those that a full buffer drops."""
+    step = lambda b, r: b.put(r["id"], r["kind"], r["at_us"])
+    return replayed(rows.select("writer", "id", "kind", "at_us"), "writer", ["at_us", "id"], "id long, kind string, flush long", lambda: Buffers(capacity, size, age_us), step, Buffers.flushed)
+
+
+def polled(rows: DataFrame, every_us: int = 1_000_000) -> DataFrame:
+    """(id, fresh): of the requests (name, id, at_us) for one aggregate in one stretch of time the first computes it and the others get its result."""
+    at = F.floor(F.col("at_us") / every_us)
+    first = rows.groupBy("name", at.alias("stretch")).agg(F.min(F.struct("at_us", "id")).alias("first"))
+    return rows.withColumn("stretch", at).join(first, ["name", "stretch"]).select("id", (F.struct("at_us", "id") == F.col("first")).alias("fresh"))
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """Rows with the time at which they are received, by this clock; times that a caller gives are refused."""
+    if given := {"received_us", "received_at", "created_at", "created_us", "timestamp"} & set(rows.columns):
+        raise ValueError(f"callers give no times: {sorted(given)}")
+    return rows.withColumn("received_us", F.unix_micros(F.current_timestamp()))
