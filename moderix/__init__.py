@@ -17,4 +17,4 @@ def on_workers(spark: SparkSession) -> None:
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), here) if x)
     if spark.conf.get(BATCH_BYTES, None) in (None, f"{64 << 20}b", f"{(1 << 31) - 1}b"):  # Spark's defaults
-        spark.conf.set(BATCH_BYTES, str(8 << 20))
+        spark.conf.set(BATCH_BYTES, str(2 << 20))

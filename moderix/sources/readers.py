@@ -55,14 +55,34 @@ def with_gold(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def guarded_path(path: str, spent: bool = False, forbidden: tuple[str, ...] = ("testset", "labela")) -> str:
-    """Held-out inputs open only with a record that they are being spent."""
+    """Held-out inputs open only with a word that they are being spent."""
     if not spent and any(x in Path(path).name.lower() for x in forbidden):
         raise BadInput(f"{Path(path).name} is held out")
     return path
 
 
+def held_out(spark: SparkSession, path: str, log: str, purpose: str, again: bool = False) -> DataFrame:
+    """A held-out corpus, opened once: each opening appends a record (path, purpose, time) to the table ``log`` before any row is read, and a path that is there
+    opens only ``again``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(log)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if not again and not spark.read.parquet(log).filter(F.col("path") == path).isEmpty():
+            raise BadInput(f"{path} has been spent")
+    record = spark.range(1).select(F.lit(path).alias("path"), F.lit(purpose).alias("purpose"), F.current_timestamp().alias("opened_at"))
+    record.write.mode("append").parquet(log)
+    return corpus_tsv(spark, guarded_path(path, spent=True))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+    """The rows of JSONL files; a line that does not parse is an error that names file and line. Lines are counted only when there is such an error."""
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path, mode="PERMISSIVE")
+    names = [c for c in rows.columns if c != "_corrupt"]
+    bad = rows.filter("_corrupt is not null").select(*names, "_corrupt", F.col("_metadata.file_path").alias("_file")).limit(1).collect()
+    if bad:
+        at = spark.read.text(bad[0]._file).rdd.zipWithIndex().filter(lambda x: x[0].value == bad[0]._corrupt).first()[1]
+        raise BadInput(f"{bad[0]._file}, line {at + 1}: not a row of {schema}")
+    return rows.select(*names)
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -75,6 +95,20 @@ def prediction_faults(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("pred") != F.when(F.col("confidence") >= 0.5, "OFF").otherwise("NOT"))
 
 
+def matched_predictions(rows: DataFrame, split_ids: DataFrame, fingerprint: str) -> DataFrame:
+    """Predictions of just the rows of a split whose fingerprint (made anew from the ids) is the recorded one."""
+    from moderix.operators.evaluation import fingerprint as of
+
+    if (got := of(split_ids).first()).sha256 != fingerprint or got.repeated:
+        raise BadInput("the split is not the recorded one")
+    ids = rows.select("row_id")
+    if not ids.exceptAll(split_ids.select("row_id")).isEmpty() or not split_ids.select("row_id").exceptAll(ids).isEmpty():
+        raise BadInput("the predictions are not those of the split")
+    if not prediction_faults(rows).isEmpty():
+        raise BadInput("a prediction is not on its score's side")
+    return rows
+
+
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """One root a line; comments and blank lines are skipped; lower-cased, distinct, in order."""
     line = F.trim("value")

@@ -103,6 +103,20 @@ def test_lexicon_scan() -> None:
     assert lexicon_scan.scan("a***l", lex)[0] == [(0, 5, "aptal", 0.6)]
 
 
+@pytest.mark.parametrize(("text_", "hits"), [
+    ("b o k", ["bok"]), ("b o k t a n", ["bok"]), ("t a m a l", []), ("x b o k", []), ("b o k y", []), ("bok mu", ["bok"]), ("a mal", ["mal"]),
+    ("amdan", ["am"]), ("amı", ["am"]), ("amlar", []), ("am", ["am"]), ("amaç", []),
+    ("geri zekalı", ["geri zekalı"]), ("geri  zekalılar", ["geri zekalı"]), ("geri, zekalı", []), ("gerisi zekalı", []), ("geri zeka", []),
+    ("sıkın", []), ("sıkecek", ["sık"]), ("sık", []), ("malum", []), ("mallar", ["mal"]), ("m*l", ["mal"]), ("4mal", ["mal"]), ("mal'dan", ["mal"]), ("12 34", []),
+])
+def test_lexicon_rules(text_: str, hits: list) -> None:
+    rows = [("mal", "mal", "B1"), ("bok", "bok", "A"), ("am", "am", "A"), ("geri", "geri zekalı", "B1"), ("sik", "sık", "A"), ("sik", "sıkecek", "A")]
+    lex = lexicon_scan.lexicon_of(rows, ["malum"], clean_stems=["sık"], forms={"am": ["ı", "dan"]})
+    lex = lexicon_scan.Lexicon(lex.variants | {"sık": ("sik", "A")}, lex.clean, lex.homonyms, lex.clean_stems, lex.forms)
+    got = [h[2] for h in lexicon_scan.scan(text_, lex)[0]]
+    assert [g if g != "sıkecek" else "sık" for g in got] == hits
+
+
 def test_column_functions(spark) -> None:
     row = spark.range(1).select(
         text.tr_lower(F.lit("Iİ")).alias("low"), text.tokens(F.lit("Ali @user, URL çok")).alias("tok"), text.unspaced(F.lit("bu s a l a k mi")).alias("joined"),
