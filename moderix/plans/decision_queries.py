@@ -152,6 +152,15 @@ def literal_and_root(t: Tables) -> DataFrame:
     return literal.crossJoin(lexicon.prefix_hits(rows, roots).agg(F.count_distinct("row_id").alias("by_root")))
 
 
+@query("lexicon_free_false_positives", "select slice, count(*) as n from scored where gold = 0 and p >= 0.320188::double and row_id not in (select row_id from w join roots on starts_with(token, root) and length(root) >= 3 and root <> 'the') group by slice", WORDS)
+def lexicon_free_false_positives(t: Tables) -> DataFrame:
+    """False alarms on rows without a token of the lexicon; roots that are suspect themselves are left out of it."""
+    rows, roots = word_rows(t)
+    wrong = t.scored.filter("gold = 0 and p >= 0.320188D")
+    hit = lexicon.prefix_hits(rows.join(wrong.select("row_id"), "row_id", "left_semi"), roots.filter("root <> 'the'")).select("row_id")
+    return wrong.join(hit, "row_id", "left_anti").groupBy("slice").agg(F.count("*").alias("n"))
+
+
 @query("short_root_leak", "select count(distinct row_id) as leaked from w where token = 'an' and row_id not in (select row_id from w join roots on starts_with(token, root) and length(root) >= 3)", WORDS)
 def short_root_leak(t: Tables) -> DataFrame:
     rows, roots = word_rows(t)

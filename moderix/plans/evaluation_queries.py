@@ -172,6 +172,18 @@ def risk_coverage(t: Tables) -> DataFrame:
     return rounded(ev.risk_coverage(t.scored, conf, (P() > 0.5).cast("int") == GOLD(), [0.1, 0.25, 0.5, 0.75, 0.9, 1.0]))
 
 
+@query("risk_coverage_invariance", """select coverage, k, round(1 - sum(ok) filter (r <= k) / k, 6) as risk, round(1 - sum(ok) filter (r <= k) / k, 6) as tempered_risk
+from (select *, greatest(1, round_even(coverage * n, 0))::bigint as k from (select *, row_number() over (partition by coverage order by c desc, row_id) as r from (
+  select row_id, greatest(p, 1 - p) as c, (case when p >= 0.5 then 1 else 0 end = gold)::int as ok, count(*) over () as n from scored), (select unnest([0.5::double, 0.8, 1.0]) as coverage))) group by coverage, k""")
+def risk_coverage_invariance(t: Tables) -> DataFrame:
+    """A temperature changes no order, so risk and coverage stay: rounded confidences tie alike on both sides."""
+    right = (P() >= 0.5).cast("int") == GOLD()
+    sure = F.greatest(P(), 1 - P())
+    plain = ev.risk_coverage(t.scored, sure, right, [0.5, 0.8, 1.0])
+    warm = ev.risk_coverage(t.scored, F.round(ev.tempered(sure, 1.7), 9), right, [0.5, 0.8, 1.0]).withColumnRenamed("risk", "tempered_risk")
+    return rounded(plain.join(warm, ["coverage", "k"]))
+
+
 @query("operating_point", f"""select slice, n, deferred, round(deferred / n, 6) as deferral, round(captured / nullif(errors, 0), 6) as capture, round(captured / nullif(errors, 0) / nullif(deferred / n, 0), 6) as lift, round(auto_errors / nullif(n - deferred, 0), 6) as auto_risk from (
   select coalesce(slice, 'all') as slice, count(*) as n, count_if({CONF} < 0.7) as deferred, count_if((p > 0.5)::int <> gold) as errors, count_if((p > 0.5)::int <> gold and {CONF} < 0.7) as captured, count_if((p > 0.5)::int <> gold and {CONF} >= 0.7) as auto_errors
   from scored group by grouping sets ((slice), ()))""")

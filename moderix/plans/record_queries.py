@@ -49,10 +49,12 @@ def module_states(t: Tables) -> DataFrame:
     return t.ev.select("event_id", rec.module_state(times, F.when(k % 4 == 0, m).otherwise(none), F.when(k % 4 == 1, m).otherwise(none), "m3_encoder").alias("state"))
 
 
-@query("public_signals", "select event_id, 'changed' as keys from ev")
+@query("public_signals", "select event_id, concat_ws(' ', case when k % 2 = 0 then 'changed' end, 'tier_' || k % 3, case when k % 5 = 0 then 'z' end) as keys from ev")
 def public_signals(t: Tables) -> DataFrame:
-    m = F.create_map(F.lit("changed"), F.lit("1"), F.lit("_offsets"), F.lit("2"))
-    return t.ev.select("event_id", F.array_join(F.map_keys(rec.public(m)), " ").alias("keys"))
+    k = F.col("k")
+    names = F.filter(F.array(F.when(k % 2 == 0, "changed"), F.when(k % 3 == 0, "_offsets"), F.concat(F.lit("tier_"), (k % 3).cast("string")), F.concat(F.lit("_k"), k.cast("string")), F.when(k % 5 == 0, "z")), lambda x: x.isNotNull())
+    m = F.map_from_arrays(names, F.transform(names, lambda x: F.length(x).cast("string")))
+    return t.ev.select("event_id", F.array_join(F.array_sort(F.map_keys(rec.public(m))), " ").alias("keys"))
 
 
 @query("trap_problems", "select comment_id as id, 'missing' as problem, 'LEET' as code from patterns where not list_contains(codes, 'LEET') union all select comment_id, 'forbidden', 'REPEAT' from patterns where list_contains(codes, 'REPEAT')")
@@ -85,10 +87,12 @@ def pseudo_labels(t: Tables) -> DataFrame:
     return t.scored.select("row_id", rec.pseudo_label(F.col("row_id") % 2 == 0, F.col("row_id") % 3 == 0).alias("label"))
 
 
-@query("figure_gate", "select 'n' as figure, -1.0::double as expected, count(*)::double as observed from scored")
+@query("figure_gate", "select * from (select 'positive' as figure, (select count(*) from labels where toxic = 1)::double + 1 as expected, count(*) filter (gold = 1)::double as observed from scored) where expected <> observed")
 def figure_gate(t: Tables) -> DataFrame:
-    got = t.scored.agg(F.count("*").alias("n"), F.min("gold").alias("least"))
-    return rec.gate(got, {"n": -1, "least": 0})
+    """Figures of the scored rows against those of the labels that they come from; the one that is off by one shows."""
+    want = t.raw("labels").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("positive")).first()
+    got = t.scored.agg(F.count("*").alias("n"), F.count_if(F.col("gold") == 1).alias("positive"))
+    return rec.gate(got, {"n": want.n, "positive": want.positive + 1})
 
 
 @query("partition_faults", "select row_id, case when row_id % 10 = 0 then 'overlap' else 'missing' end as fault from scored where row_id % 10 = 0 or row_id % 10 = 9")
@@ -120,10 +124,15 @@ def damage_rate(t: Tables) -> DataFrame:
     return t.ev.agg(F.count("*").alias("n"), F.count_if(rec.damaged(F.lower("event_type"), F.translate(after, "I", "İ"))).alias("damaged"))
 
 
-@query("capabilities", "select * from (values ('A1', 'm1_lexicon', 0.5::double, 'active'), ('B4', 'm6_target', 0.5, 'active'), ('C1', 'm4_implicit', 0.5, 'degraded'), ('D1', null, 0.5, 'not_produced')) x(code, module, threshold, state)")
+@query("capabilities", """select code, module, threshold, case when module is null then 'not_produced' when module in (select 'm4_implicit' from decisions where degraded) then 'degraded' else 'active' end as state
+from (select offense_type as code, case when offense_type in ('A1', 'A2') then 'm1_lexicon' when offense_type = 'B4' then 'm6_target' when offense_type = 'B1' then 'm4_implicit' end as module, round(min(score), 6) as threshold from scores group by 1)""")
 def capabilities(t: Tables) -> DataFrame:
-    codes = t.spark.createDataFrame([("A1", "m1_lexicon"), ("B4", "m6_target"), ("C1", "m4_implicit"), ("D1", None)], "code string, module string")
-    return rec.capability(codes, t.spark.createDataFrame([(c, 0.5) for c in ("A1", "B4", "C1", "D1")], "code string, threshold double"), ["m4_implicit"])
+    """The codes that the scores hold, with the least score seen as threshold; a module is degraded if a decision says so."""
+    code = F.col("offense_type")
+    module = F.when(code.isin("A1", "A2"), "m1_lexicon").when(code == "B4", "m6_target").when(code == "B1", "m4_implicit")
+    codes = t.scores.select(code.alias("code"), module.alias("module")).distinct()
+    thresholds = t.scores.groupBy(code.alias("code")).agg(F.round(F.min("score"), 6).alias("threshold"))
+    return rec.capability(codes, thresholds, [] if t.decisions.filter("degraded").isEmpty() else ["m4_implicit"])
 
 
 @query("matched_outcomes", "select user_id as id, row_number() over (partition by user_id order by event_id) as n, event_id as place, event_id as answer_place from ev")

@@ -72,6 +72,17 @@ def moderation_pipeline(t: Tables) -> DataFrame:
     return d.select("id", "verdict.action", "verdict.driver", "offensive", "target_type", F.array_join(dec.active_form(dec.POLICY, F.col("form")), " ").alias("form"))
 
 
+@query("channel_flips", f"""select count(*) as n, count(*) filter (dirty) as raw_dirty, count(*) filter (hidden and not dirty) as flipped from (
+  select hidden, regexp_matches(lower(text), '(^|[^\\pL\\pN])(idiot|moron|scum|trash|loser)({"|".join(target.ENDS)})*($|[^\\pL\\pN])') as dirty
+  from (select coalesce(text, '') as text, turn % 2 = 0 as hidden from conversations))""")
+def channel_flips(t: Tables) -> DataFrame:
+    """Posts that are clean as written and are not once the repaired channel is read as well: every other post hides a word."""
+    rows = t.raw("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.concat(F.when(F.col("turn") % 2 == 0, "you s.c.u.m ").otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
+    dirty = lambda second: lexicon_scan.analysed(rows, LEXICON, second_channel=second).select("id", (F.size("content") > 0).alias("two" if second else "one"))
+    both = dirty(False).join(dirty(True), "id")
+    return both.agg(F.count("*").alias("n"), F.count_if("one").alias("raw_dirty"), F.count_if(F.col("two") & ~F.col("one")).alias("flipped"))
+
+
 @query("score_validation", """, x as (select event_id, case when k % 10 = 0 then 1.5::double else k / 100 end as score, k as s0, k + 3 as e0, length(event_type) + 90 as n from ev)
 select event_id, (score between 0 and 1 and e0 <= n) as valid from x""")
 def score_validation(t: Tables) -> DataFrame:
