@@ -92,16 +92,21 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return np.frombuffer(widened(blob[5:], n * width), f"<u{width}").astype(np.int64)
 
 
-def places(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Where each x, which is one of them, stands among sorted distinct keys: keys are hashes, so their first bits almost tell."""
-    bits = np.uint64(64 - max(1, len(keys).bit_length()))
-    start = np.searchsorted(keys, np.arange(1 << int(64 - bits), dtype=np.uint64) << bits)
-    at = start[(x >> bits).astype(np.int64)]
-    off = np.flatnonzero(keys[at] != x)
-    while len(off):
-        at[off] += 1
-        off = off[keys[at[off]] != x[off]]
-    return at
+class Places:
+    """Where hashes stand among sorted distinct ones that hold them: the first bits of a hash almost tell its place."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = np.uint64(64 - max(1, len(keys).bit_length()))
+        self.start = np.searchsorted(keys, np.arange(1 << int(64 - self.bits), dtype=np.uint64) << self.bits).astype(np.int32)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        at = self.start[(x >> self.bits).astype(np.int64)]
+        off = np.flatnonzero(self.keys[at] != x)
+        while len(off):
+            at[off] += 1
+            off = off[self.keys[at[off]] != x[off]]
+        return at
 
 
 def _dealt(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFrame:
@@ -199,14 +204,14 @@ def scored(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alph
         if len(total) != len(keys):
             raise RuntimeError("the count table's answers do not fit the chunk")
         words_of, score_of = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows)
-        every = float(total[np.searchsorted(keys, EMPTY)])
+        every, at = float(total[np.searchsorted(keys, EMPTY)]), Places(keys)
         for w in textvec.pieces(texts):
             n = len(w.hash)
             c = [np.full(n, every)]
             best = np.zeros(n)
             for k, (last, key) in enumerate(grams(w, order), 1):
                 own = np.zeros(n)
-                own[last] = total[places(keys, key)]
+                own[last] = total[at(key)]
                 c.append(own)
                 prior = c[k - 1] if k == 1 else np.r_[0.0, c[k - 1][:-1]]
                 seen = np.zeros(n, bool)

@@ -643,7 +643,7 @@ def test_packed_keys() -> None:
         k = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))
         assert (lm_scoring.unpack(lm_scoring.pack(k)) == k).all()
         x = np.random.default_rng(1).choice(k, 3 * n)
-        assert (lm_scoring.places(k, x) == np.searchsorted(k, x)).all()
+        assert (lm_scoring.Places(k)(x) == np.searchsorted(k, x)).all()
         c = np.arange(n) * 10**k.size.bit_length() % 2**40
         assert (lm_scoring.unpack_counts(lm_scoring.pack_counts(c)) == c).all()
 
