@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from moderix.llm import stages
 
 SPACE = "▁"
-#: Segments of up to ``SHORT`` characters in each of the two generations that a worker keeps: at most about 20 MB each; more only saves time.
-CACHE, SHORT = 100_000, 64
+#: Segments of up to ``SHORT`` characters in each of the two generations that a worker keeps, 200 bytes each, about; more only saves time. With
+#: ``FEW`` or fewer a worker also forgets them when its task ends, for executors that have other work to hold.
+CACHE, FEW, SHORT = 400_000, 100_000, 64
 #: Places, a power of two, of the table that tells which segments were met before: only what comes again is kept, so the many that come once do not crowd out others.
 MET = 1 << 22
 #: Rows of an Arrow batch that are handled at a time.
@@ -70,6 +71,7 @@ class PieceBpe:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.met, self.marks = bytearray(MET >> 3), 0
+        self.limit = CACHE
 
     def forget(self) -> None:
         """Empty the caches: an idle worker need not hold them."""
@@ -144,9 +146,9 @@ class PieceBpe:
             fresh = self._fill(new)
             made |= fresh
             short |= {p: x for p, x in fresh.items() if len(p) <= SHORT and self._again(p)}
-        if len(self.cache) + len(short) > CACHE:
+        if len(self.cache) + len(short) > self.limit:
             got = {p: made[p] if p in made else self.cache[p] for p in parts}
-            self.old, self.cache = self.cache, short if len(short) <= CACHE else {}
+            self.old, self.cache = self.cache, short if len(short) <= self.limit else {}
             return got
         self.cache.update(short)
         return self.cache if len(short) == len(made) else {p: made[p] if p in made else self.cache[p] for p in parts}
@@ -183,17 +185,19 @@ def loaded(model: bytes) -> PieceBpe:
     return PieceBpe(model)
 
 
-def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: str, give: Callable) -> DataFrame:
+def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: str, give: Callable, cache: int = CACHE) -> DataFrame:
     with open(model_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(held.value)
+        bpe.limit = cache
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 part = b.slice(at, BATCH)
                 yield pa.RecordBatch.from_arrays([part.column(0), *give(bpe, part.column(1))], names)
-        bpe.forget()
+        if cache <= FEW:
+            bpe.forget()
 
     key = docs.select(id_col).schema[0].dataType.simpleString()
     names = [id_col, *(x.split()[0] for x in schema.split(", "))]
@@ -218,7 +222,7 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
     return _run(rows, model_path, id_col, ids_col, "text string", give)
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """Encode and decode in one pass: (id, n_tokens, ids_sha256, decoded_sha256)."""
 
     def give(bpe: PieceBpe, texts: pa.Array) -> list[pa.Array]:
@@ -227,4 +231,4 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         sha = lambda x: hashlib.sha256(x).hexdigest()
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(bpe.joined(x)) for x in ids]), pa.array([sha(x.encode()) for x in back])]
 
-    return _run(docs, model_path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", give)
+    return _run(docs, model_path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", give, cache)

@@ -171,7 +171,8 @@ def test_agenda_is_the_library(bpe) -> None:
 def test_small_cache_changes_nothing(bpe, monkeypatch) -> None:
     texts = some_texts(50, 4)
     want = [x.tolist() for x in bpe.encode_batch(texts)]
-    monkeypatch.setattr(piece_bpe, "CACHE", 30)
+    bpe.forget()
+    monkeypatch.setattr(bpe, "limit", 30)
     assert [x.tolist() for x in bpe.encode_batch(texts)] == want
 
 
