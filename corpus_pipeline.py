@@ -47,7 +47,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     on_workers(spark)
-    return piece_bpe.round_trip(docs, op9.model_path())
+    return piece_bpe.round_trip(docs, op9.model_path(), cache=piece_bpe.FEW)
 
 
 STAGES = [
