@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 import weakref
@@ -20,9 +21,11 @@ _own: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; only where
-    that is unset (tests on one machine) a folder of our own."""
+    that is unset in local mode (tests) a folder of our own. On a cluster it must be set."""
     if at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return at
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors would not see the driver's folder")
     return _own.setdefault("dir", tempfile.mkdtemp(prefix="moderix-"))
 
 

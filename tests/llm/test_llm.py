@@ -56,6 +56,27 @@ def test_components(spark) -> None:
     assert {x for a, b in edges if a != b for x in (a, b)} == set(got)
 
 
+def test_tables_between_steps(spark, monkeypatch) -> None:
+    import os
+
+    df = stages.written(spark.range(5), "kept")
+    path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and df.count() == 5
+    stages.dropped(df)
+    assert not os.path.exists(path)
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError):
+        stages.shared_dir(Cluster)
+
+
 # -- 8 ----------------------------------------------------------------------------------------------------------------
 
 def brute(texts: list, n: int, num: int, den: int) -> dict:
