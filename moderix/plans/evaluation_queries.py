@@ -159,7 +159,19 @@ def nll_grid(t: Tables) -> DataFrame:
     return rounded(ev.nll(t.scored, "p", [0.5, 1.0, 1.5, 2.0, 4.0]))
 
 
-@query("temperature_fit")
+def _fit_sql(rounds: int = 3, points: int = 41) -> str:
+    """The grids of the temperature fit, one behind the other."""
+    out = ", lim0 as (select ln(0.05::double) as a, ln(20.0::double) as b)"
+    for k in range(rounds):
+        out += f""", grid{k} as (select i, a + (b - a) * i / {points - 1} as g from lim{k}, (select unnest(range({points})) as i)),
+loss{k} as (select i, avg(-case when gold = 1 then ln(q) else ln(1 - q) end) as l from (
+  select i, gold, least(greatest(1 / (1 + exp(-ln(c / (1 - c)) / exp(g))), 1e-6), 1 - 1e-6) as q from (select gold, least(greatest(p, 1e-6::double), 1 - 1e-6::double) as c from scored), grid{k}) group by i),
+best{k} as (select i from loss{k} order by l, i limit 1),
+lim{k + 1} as (select (select g from grid{k} where grid{k}.i = greatest(0, best{k}.i - 1)) as a, (select g from grid{k} where grid{k}.i = least({points - 1}, best{k}.i + 1)) as b from best{k})"""
+    return out + " "
+
+
+@query("temperature_fit", "select round(exp((a + b) / 2), 4) as temperature, (select i in (0, 40) from best0) as at_boundary from lim3", _fit_sql())
 def temperature_fit(t: Tables) -> DataFrame:
     best, edge = ev.fit_temperature(t.scored)
     return t.spark.createDataFrame([(round(best, 4), edge)], "temperature double, at_boundary boolean")

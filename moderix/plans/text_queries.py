@@ -20,7 +20,7 @@ def posts(t: Tables) -> DataFrame:
     return c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
 
 
-@query("charsafe_posts")
+@query("charsafe_posts", "select conv_id || '/' || turn as id, length(text)::int as n, len(regexp_extract_all(text, '[^\\s]*[Iİ][^\\s]*'))::int as patterns, true as ok from conversations")
 def charsafe_posts(t: Tables) -> DataFrame:
     c = charsafe.charsafe(posts(t), "id")
     return c.select("id", F.length("charsafe_text").alias("n"), F.size("patterns").alias("patterns"), "ok")
