@@ -7,7 +7,8 @@ explicit rule: ``first`` gives it to the section of its first byte, ``most`` to
 earlier one if equal), ``share`` splits it by bytes.
 
 Sections of a text are its paragraphs: they end behind each run of line ends, so they tile the text. Bytes that no
-section covers count for none. Null and empty texts have no tokens and no sections; an empty section gets 0.
+section covers count for none. Null and empty texts have no tokens and no sections; an empty section gets 0. Every row gives a row, repeated ones and those
+without an id too; where two sections have equal parts of a token the earlier has it (``most``); an empty table gives no rows; only the named columns are read, whatever else there is.
 """
 
 from __future__ import annotations
