@@ -27,7 +27,7 @@ from moderix.llm import stages
 
 SPACE = "▁"
 #: Segments of up to ``SHORT`` characters in each of the two generations that a worker keeps, 200 bytes each, about; more only saves time. With
-#: ``FEW`` or fewer a worker also forgets them when its task ends, for executors that have other work to hold.
+#: ``FEW`` or fewer a worker also drops them and the vocabulary when its task ends, for executors that have other work to hold.
 CACHE, FEW, SHORT = 400_000, 100_000, 64
 #: Places, a power of two, of the table that tells which segments were met before: only what comes again is kept, so the many that come once do not crowd out others.
 MET = 1 << 22
@@ -73,10 +73,6 @@ class PieceBpe:
         self.met, self.marks = bytearray(MET >> 3), 0
         self.limit = CACHE
 
-    def forget(self) -> None:
-        """Empty the caches: an idle worker need not hold them."""
-        self.cache, self.old = {}, {}
-
     def agenda(self, segment: str) -> list[int]:
         """The ids of one segment."""
         get, push, pop = self.rank.get, heapq.heappush, heapq.heappop
@@ -197,7 +193,7 @@ def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: s
                 part = b.slice(at, BATCH)
                 yield pa.RecordBatch.from_arrays([part.column(0), *give(bpe, part.column(1))], names)
         if cache <= FEW:
-            bpe.forget()
+            loaded.cache_clear()
 
     key = docs.select(id_col).schema[0].dataType.simpleString()
     names = [id_col, *(x.split()[0] for x in schema.split(", "))]

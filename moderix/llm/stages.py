@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -93,6 +94,7 @@ def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
 
     def tidy(batches: Batches) -> Batches:
         yield from run(batches)
+        gc.collect()
         pa.default_memory_pool().release_unused()
         if (libc := _libc()) is not None:
             libc.malloc_trim(0)

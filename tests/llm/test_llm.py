@@ -192,7 +192,8 @@ def test_agenda_is_the_library(bpe) -> None:
 def test_small_cache_changes_nothing(bpe, monkeypatch) -> None:
     texts = some_texts(50, 4)
     want = [x.tolist() for x in bpe.encode_batch(texts)]
-    bpe.forget()
+    monkeypatch.setattr(bpe, "cache", {})
+    monkeypatch.setattr(bpe, "old", {})
     monkeypatch.setattr(bpe, "limit", 30)
     assert [x.tolist() for x in bpe.encode_batch(texts)] == want
 
