@@ -77,6 +77,14 @@ def tckn_valid(x: Column) -> Column:
     return F.when(F.coalesce(x.rlike(r"^[1-9]\d{10}$"), F.lit(False)), ok).otherwise(False)
 
 
+def tckn_sums(n: Column) -> Column:
+    """The two sums of ``tckn_valid`` for the last eleven digits of a whole number, in SQL's arithmetic: null stays null, no digit is
+    ruled out, and a remainder has the sign of its dividend, so that a negative difference of the sums only fits a tenth digit 0."""
+    base = {i: F.call_function("div", n, F.lit(10 ** (11 - i)).cast("long")) % 10 for i in range(1, 12)}
+    odd, even = sum(base[i] for i in (1, 3, 5, 7, 9)), sum(base[i] for i in (2, 4, 6, 8))
+    return ((odd * 7 - even) % 10 == base[10]) & ((odd + even + base[10]) % 10 == base[11])
+
+
 def iban_valid(x: Column) -> Column:
     """A TR account number of 26 characters whose rearranged number is 1 modulo 97."""
     s = F.upper(F.regexp_replace(x, r"\s", ""))
