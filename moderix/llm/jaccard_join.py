@@ -16,6 +16,7 @@ exactly on whole texts.
   group of near copies costs about one verification per member, and no link between components is lost.
 * A key with many sets inside one task, or whose elements the sketch counts ``HOT`` times, leaves its task as single
   rows, so no task gathers a whole hot list.
+* Texts that are shuffled travel compressed.
 * Candidates are verified in blocks of about ``PER_BLOCK`` shingles, however many these are; pairs with a neighbour in common share a block, so that
   most texts are sent once.
 
@@ -39,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from moderix.llm import stages, textvec
 
@@ -340,13 +342,14 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, t: Thr
     needs = stages.written(needs, f"{name}-needs")
     bits = stages.member_bits(needs.select("doc_id"))
     texts = stages.only_members(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", bits)
+    texts = texts.select("doc_id", stages.zipped(F.col("text")).alias("text"))
     found = needs.join(texts, "doc_id").select(F.col("block").alias("at"), "node", "s1", "s2", "text")
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
         for b in right.to_batches():
             node, s1, s2 = (b.column(k).to_pylist() for k in (1, 2, 3))
-            for w in textvec.pieces(b.column(4)):
+            for w in textvec.pieces(stages.texts_of(b.column(4))):
                 first, h = textvec.shingle_sets(w, n)
                 for i in range(len(first) - 1):
                     j, own = w.docs.start + i, h[first[i] : first[i + 1]]
@@ -449,11 +452,15 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     def digest(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from stages.tidied(lambda xs: map(digests, xs))(texts)
 
+    # only strings travel compressed: other types have no text of their own to go back to
+    is_text = docs.schema[text_col].dataType == StringType()
     maybe = maybe.withColumn(own, digest(F.col(f"`{text_col}`").cast("string")))
+    maybe = maybe.withColumn(text_col, stages.zipped(F.col(f"`{text_col}`"))) if is_text else maybe
     key = (F.col(f"`{id_col}`").cast("long") == touched["_id"]) & (F.array(touched["_s1"], touched["_s2"]) == F.col(own))
     safe = maybe.join(touched, key, "left_anti").drop(own)
     once = maybe.join(touched.filter("stays"), key, "left_semi").dropDuplicates([id_col, own]).drop(own)
-    return sure.unionByName(safe).unionByName(once)
+    kept = safe.unionByName(once)
+    return sure.unionByName(kept.withColumn(text_col, stages.unzipped(F.col(f"`{text_col}`"))) if is_text else kept)
 
 
 def _apart(long: DataFrame, labels: DataFrame, refs: DataFrame, near: F.Column, turn: int | None) -> DataFrame | None:

@@ -9,12 +9,13 @@ import re
 import tempfile
 import uuid
 import weakref
+import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -102,6 +103,32 @@ def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return tidy
 
 
+def zipped(text: Column) -> Column:
+    """A text compressed, for shuffles: better than the shuffle does it, row by row. Null stays null."""
+
+    def one(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else zlib.compress(x, 1) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    @F.arrow_udf("binary")
+    def zip_text(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(lambda xs: map(one, xs))(texts)
+
+    return zip_text(text)
+
+
+def unzipped(blob: Column) -> Column:
+    @F.arrow_udf("string")
+    def unzip_text(blobs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(lambda xs: map(texts_of, xs))(blobs)
+
+    return unzip_text(blob)
+
+
+def texts_of(blobs: pa.Array) -> pa.Array:
+    """The texts that ``zipped`` compressed."""
+    return pa.array([None if x is None else zlib.decompress(x) for x in blobs.to_pylist()], pa.binary()).cast(pa.string())
+
+
 CHUNKS = 64
 
 

@@ -135,6 +135,19 @@ def test_jaccard_of_nothing_and_null_ids(spark) -> None:
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
 
 
+def test_texts_are_shuffled_compressed(spark) -> None:
+    """What meets in joins is compressed; the rows come back as they were, other columns and null texts too."""
+    text = "Çok güzel, “naïve” \u0000 \U0001f600 " * 20
+    rows = [(1, text, "a"), (2, text, "b"), (2, None, "c"), (2, "", "d"), (3, "x " * 50, "e"), (3, "x " * 50, "e"), (None, text, "f"), (None, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `more.of it` string")
+    out = jaccard_join.deduplicated(docs)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([r for i, r in enumerate(rows) if i not in (1, 5)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "unzip_text" in plan and plan.count("zip_text") > plan.count("unzip_text")
+    own = docs.select("text", stages.zipped(F.col("text")).alias("z")).select("text", stages.unzipped(F.col("z")).alias("again"), F.length("z").alias("n"))
+    assert all(r.text == r.again and (r.text is None or len(r.text) < 50 or r.n < len(r.text) / 2) for r in own.collect())
+
+
 def test_jaccard_first_copy_without_an_id(spark) -> None:
     text = " ".join(WORDS[:60])
     rows = spark.createDataFrame([(None, text), (4, text), (2, text), (1, text + " more"), (7, "a b c d e f")], DOC).coalesce(1)
