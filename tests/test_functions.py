@@ -194,3 +194,27 @@ def test_cursor_round_trip_and_refusal() -> None:
 def test_kpi_rounding(spark) -> None:
     r = spark.sql("select 0 a, 0 b, 1145 c, 1000 d").select(panel.change_pct(F.col("a"), F.col("b")).alias("x"), panel.change_pct(F.col("c"), F.col("d")).alias("y")).first()
     assert (r.x, r.y) == (None, 14.5)
+
+
+def test_short_ways_give_what_the_long_ones_give(spark, monkeypatch) -> None:
+    """Whole analysis and its parts with and without what is remembered or skipped."""
+    import random
+
+    rng = random.Random(3)
+    bits = ["sen", "size", "be", "Be", "ulan'a", "the", "theler", "derler", "dersin", "gelmişsin", "x'sen", "a'b'sen", "@ali", "a@bc", "İDİOT", "idiot", "s.c.u.m", "scuuum", "tr4sh", "Waxed", "I", "t r a s h",
+            "ΣΑΣ", "dérlér", "sаl", "e\u0301", "a\u200bb", "Ａ", "10000000146", "ali@x.com", "no: 5 sokak evi", "trash can", "²sen", "\u00a0", "\n", "“sen”", "sen_", "…", "ß", "z" * 50, "sen-siz", "IĞDIR", "ʼ", "l'idiot"]
+    texts = [rng.choice([" ", "  ", "\t"]).join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, ""]
+    for x in filter(None, texts):
+        a, b = charsafe.cleaned(x), charsafe._by_passes(x)
+        assert (a.chars, a.start, a.end, a.patterns) == (b.chars, b.start, b.end, b.patterns), x
+    groups, things = frozenset({"Der", "les"}), frozenset({"the"})
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [(r.id, r.target_type, r.target_confidence) for r in lexicon_scan.analysed(rows, lexicon_scan.lexicon_of([("trash", "trash", "A")]), groups=groups, things=things).collect()]
+    want = [(r.id, r.t and r.t.type, r.t and r.t.confidence) for r in rows.select("id", F.get(target.targets(F.col("text"), groups, things, 1), 0).alias("t")).collect()]
+    assert sorted(got) == sorted(want)
+    dox = rows.select("id", F.size(target.identifiers(F.col("text"))).alias("n")).collect()
+    assert {r.id: r.n for r in dox} == {r.id: sum(c.code == "B4" for c in r.content) for r in lexicon_scan.analysed(rows, lexicon_scan.lexicon_of([])).collect()}
+    lex = lexicon_scan.lexicon_of([("idiot", "idiot", "B1"), ("trash", "trash", "A"), ("scum", "scum", "A")])
+    for x in filter(None, texts):
+        lex.quiet.clear()
+        assert lexicon_scan.scan(x, lex) == lexicon_scan.scan(x, lex)
